@@ -159,8 +159,9 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int = 8,
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list[Rule]:
     """Rules from the labelled documents of ``docs``; those that the base rules fail are not learned from."""
     names = list(features())
-    rows = labelled_sample(docs, labels, limit).filter(~F.col("failed")).select("good", *names).collect()  # at most about `limit` rows
-    rows.sort(key=lambda r: tuple(r))
+    # at most about `limit` rows; failed ones go here, as a filter would move below the join and measure every text
+    rows = [r for r in labelled_sample(docs, labels, limit).collect() if not r["failed"]]
+    rows.sort(key=tuple)
     data = np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(len(rows), len(names))
     order = np.random.default_rng(7).permutation(len(rows))
     return learn(data[order], np.array([not r["good"] for r in rows], dtype=bool)[order], names)
