@@ -313,7 +313,7 @@ def examples(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def trained(seed: int = 11, steps: int = 160, batch: int = 48) -> Model:
+def trained(seed: int = 11, steps: int = 260, batch: int = 64) -> Model:
     """The model after ``steps`` of Adam over made examples; the same for the same arguments."""
     rng = np.random.default_rng(seed)
     model, rate = Model.fresh(rng), 0.02
