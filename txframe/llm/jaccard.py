@@ -32,7 +32,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
 #: Classes, and shingles, in a block of a bucket.
-BLOCK = 64
+BLOCK = 256
 BLOCK_SHINGLES = 2_000_000
 #: Vocabulary columns that are multiplied at once.
 CHUNK = 4096
