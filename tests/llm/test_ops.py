@@ -267,3 +267,13 @@ def test_pipeline(spark):
             n = Counter(r.shard for r in after)
             assert len(after) == len(before) and max(n.values()) - min(n.values()) <= 1
         rows = after
+
+
+def test_decontaminate_ranks_by_all_documents(spark):
+    items = spark.createDataFrame([(1, "often common rare seldom often common other often")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "often Common OFTEN other"), (2, "seldom seldom rare often common other"), (3, None)], "doc_id long, text string")
+    words = decontaminate.window_words(decontaminate.item_windows(items))
+    df = decontaminate.occurrences(docs, words)
+    assert {r.token: r.df for r in df.collect()} == {r.t: n for w, n in (("often", 3), ("common", 2), ("other", 2), ("seldom", 2), ("rare", 1)) for r in spark.range(1).select(decontaminate.token(F.lit(w)).alias("t")).collect()}
+    assert [r.offset for r in decontaminate.prefixes(words, df).collect()] == [2]
+    assert [r.offset for r in decontaminate.prefixes(words, decontaminate.occurrences(empty(spark), words)).collect()] == [3]

@@ -5,8 +5,9 @@ word of it, its rarest, is necessary: only document words equal to some window's
 are joined. A match must also leave room for the window on both sides (length and positional
 bounds), and what is left is verified word for word over the window's size.
 
-Rarity is ranked by how many windows of the benchmark hold a word; the ranking decides only
-how many candidates are verified, never the result.
+Rarity is how often a word occurs in all documents, counted over whole texts before the join; the
+ranking decides only how many candidates are verified, never the result. A window one of whose
+words occurs in no document is ranked by that word and so meets nothing.
 
 Nulls and odd input: null and empty texts have no words and match nothing; items without
 words, or with a null id, form no window; a window that several items share counts for each of
@@ -53,19 +54,30 @@ def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     return cut.select("item_id", lowered(F.col("x")).alias("win"), F.size("x").alias("n")).distinct()
 
 
-def prefixes(windows: DataFrame) -> DataFrame:
-    """Per distinct window: its rarest token, that token's offset and the window."""
+def window_words(windows: DataFrame) -> DataFrame:
+    """Per distinct window and word of it: win, n, offset, word and token."""
     wins = windows.select("win", "n").distinct()
-    words = wins.select("win", "n", F.posexplode(F.split("win", " ")).alias("offset", "word")).withColumn("token", token(F.col("word")))
-    df = words.groupBy("token").agg(F.countDistinct("win").alias("df"))
-    ranked = words.join(df, "token").groupBy("win", "n").agg(F.min_by(F.struct("token", "offset"), F.struct("df", (-F.length("word")).alias("l"), "token", "offset")).alias("p"))
+    return wins.select("win", "n", F.posexplode(F.split("win", " ")).alias("offset", "word")).withColumn("token", token(F.col("word")))
+
+
+def occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """How often each token of ``words`` occurs in all of ``docs``; a few other tokens are counted too."""
+    slots, mask = word_filter(words), F.lit((1 << FILTER_BITS) - 1)
+    known = F.filter(F.transform(raw_words(F.col("text")), token), lambda x: F.get(slots, x.bitwiseAND(mask).cast("int")) == "1")
+    return docs.select(F.explode(known).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def prefixes(words: DataFrame, df: DataFrame) -> DataFrame:
+    """Per distinct window: the token that ``df`` counts least, its offset and the window."""
+    counted = words.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    ranked = counted.groupBy("win", "n").agg(F.min_by(F.struct("token", "offset"), F.struct("df", (-F.length("word")).alias("l"), "token", "offset")).alias("p"))
     return ranked.select("win", "n", "p.token", "p.offset")
 
 
-def word_filter(prefix: DataFrame, bits: int = FILTER_BITS) -> Column:
-    """A constant array of booleans by token modulo its length: false means no window's rarest token."""
+def word_filter(tokens: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """A constant array of "1" and "0" by token modulo its length: "0" means that no row of ``tokens`` has the token."""
     slots = (1 << bits) - 1
-    held = prefix.select(F.col("token").bitwiseAND(F.lit(slots)).cast("int").alias("s")).distinct().collect()  # at most 2**bits rows
+    held = tokens.select(F.col("token").bitwiseAND(F.lit(slots)).cast("int").alias("s")).distinct().collect()  # at most 2**bits rows
     on = {r.s for r in held}
     text = "".join("1" if i in on else "0" for i in range(slots + 1))
     return F.split(F.lit(text), "")  # folded into one constant
@@ -74,16 +86,17 @@ def word_filter(prefix: DataFrame, bits: int = FILTER_BITS) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = SIZE, min_items: int = 2, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Per distinct (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and text_hash."""
     windows = staged(item_windows(items, size).withColumn("win_id", F.xxhash64("win")))
-    prefix = staged(prefixes(windows).withColumn("win_id", F.xxhash64("win")))
+    words = staged(window_words(windows))
+    prefix = staged(prefixes(words, occurrences(docs, words)).withColumn("win_id", F.xxhash64("win")))
     small = prefix.count() <= broadcast_windows
     sent = F.broadcast if small else (lambda df: df)
     slots, mask = word_filter(prefix), F.lit((1 << FILTER_BITS) - 1)
 
-    words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), raw_words(F.col("text")).alias("w"))
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), raw_words(F.col("text")).alias("w"))
     found = let(F.transform(F.col("w"), token), lambda t: F.filter(F.transform(t, lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda x: F.get(slots, x["token"].bitwiseAND(mask).cast("int")) == "1"))
     # Every document has one marker (at -1) that joins nothing and carries its word count.
     marker = F.array(F.struct(F.lit(-1).alias("at"), F.col("h").alias("token")))
-    spread = words.select("doc_id", "h", "w", F.explode(F.concat(marker, found)).alias("c"))
+    spread = texts.select("doc_id", "h", "w", F.explode(F.concat(marker, found)).alias("c"))
     # A candidate keeps only the words that a window around it can reach.
     low = F.greatest(F.col("c.at") - (size - 1), F.lit(0))
     near = spread.select("doc_id", "h", F.col("c.at").alias("at"), F.col("c.token").alias("token"), F.when(F.col("c.at") < 0, F.size("w")).alias("n_words"), low.alias("low"), F.when(F.col("c.at") >= 0, F.slice("w", low + 1, 2 * size - 1)).alias("near"))
