@@ -277,3 +277,11 @@ def test_decontaminate_ranks_by_all_documents(spark):
     assert {r.token: r.df for r in df.collect()} == {r.t: n for w, n in (("often", 3), ("common", 2), ("other", 2), ("seldom", 2), ("rare", 1)) for r in spark.range(1).select(decontaminate.token(F.lit(w)).alias("t")).collect()}
     assert [r.offset for r in decontaminate.prefixes(words, df).collect()] == [2]
     assert [r.offset for r in decontaminate.prefixes(words, decontaminate.occurrences(empty(spark), words)).collect()] == [3]
+
+
+def test_pii_reads_what_all_windows_read():
+    model = pii.trained()
+    plain = words(21, 300)
+    texts = ["", "7", "a" * 64, "b" * 65 + "1", plain, f"{plain} 555-867-5309 {plain} jo [at] host [dot] org {plain}", f"10[.]0[.]0[.]1 {plain}", f"{plain} 10.0.0.1"]
+    assert pii.model_spans(model, texts) == pii.model_spans(model, texts, every=True)
+    assert pii._window_starts("b" * 65, every=True) == [0, 32] and pii._window_starts(plain) == []

@@ -6,8 +6,10 @@ ways people write around them), adds what the patterns miss. Base spans always s
 one overlaps none of them.
 
 The model reads windows of 64 characters every 32. A span it may report holds an anchor (a
-digit, an at sign or a bracketed "at"), so windows without one are passed over unread; this
-changes no result. Where windows overlap, their emissions are averaged, weighted towards each
+digit, an at sign or a bracketed "at"); read are the windows with an anchor and their neighbours,
+so that every emission around an anchor is the one that reading all windows gives. Paths can
+differ from it only by what lies beyond the read stretch. ``every=True`` reads all windows, at
+several times the CPU. Where windows overlap, their emissions are averaged, weighted towards each
 window's middle, and one Viterbi path is taken over the whole covered stretch, so a span is
 decided once however many windows saw it. An added span must also hold as its kind: 12 to 19
 digits passing Luhn, 9 to 15 digits, four parts of at most 255, or a name, host and domain.
@@ -338,13 +340,18 @@ def trained(seed: int = 11, steps: int = 260, batch: int = 64) -> Model:
 _CENTRE = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
 
 
-def _window_starts(text: str) -> list[int]:
-    """Starts of the windows, every STRIDE characters, that hold an anchor."""
+def _window_starts(text: str, every: bool = False) -> list[int]:
+    """Starts of the windows to read, every STRIDE characters: those that hold an anchor and their neighbours, or all."""
+    last = max(0, -(-(len(text) - WINDOW) // STRIDE)) if text else -1
+    if every:
+        return [k * STRIDE for k in range(last + 1)]
     found: set[int] = set()
+    reach = WINDOW // STRIDE
     for m in ANCHOR.finditer(text):
-        last = m.start() // STRIDE
-        found.update(k * STRIDE for k in range(max(0, last - WINDOW // STRIDE + 1), last + 1))
-    return sorted(found)
+        # an anchor in brackets may run on into the next windows
+        a, b = m.start() // STRIDE, (m.end() - 1) // STRIDE
+        found.update(range(max(0, a - reach), min(last, b + 1) + 1))
+    return [k * STRIDE for k in sorted(found)]
 
 
 _AT = re.compile(r" ?(?:@|[(\[] ?at ?[)\]]) ?")
@@ -379,9 +386,10 @@ def _stretches(starts: list[int], length: int) -> Iterator[tuple[int, int]]:
         k = j + 1
 
 
-def model_spans(model: Model, texts: list[str]) -> list[list[Span]]:
+def model_spans(model: Model, texts: list[str], every: bool = False) -> list[list[Span]]:
     """Per text the spans on the best path that hold as their kind."""
-    jobs = [(i, s) for i, t in enumerate(texts) for s in _window_starts(t)]
+    starts = [_window_starts(t, every) for t in texts]
+    jobs = [(i, s) for i, found in enumerate(starts) for s in found]
     sums: dict[int, tuple[dict[int, np.ndarray], dict[int, np.ndarray]]] = {}
     coded = {i: symbols(texts[i]) for i in {i for i, _ in jobs}}
     for at in range(0, len(jobs), WINDOWS_AT_ONCE):
@@ -400,7 +408,7 @@ def model_spans(model: Model, texts: list[str]) -> list[list[Span]]:
     out: list[list[Span]] = [[] for _ in texts]
     for i, (score, weight) in sums.items():
         text = texts[i]
-        for a, b in _stretches(_window_starts(text), len(text)):
+        for a, b in _stretches(starts[i], len(text)):
             blocks = range(a // STRIDE, -(-b // STRIDE))
             e = np.concatenate([score[k] / weight[k][:, None] for k in blocks])[: b - a]
             path = viterbi(e, model.p["T"])
