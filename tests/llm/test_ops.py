@@ -279,9 +279,59 @@ def test_decontaminate_ranks_by_all_documents(spark):
     assert [r.offset for r in decontaminate.prefixes(words, decontaminate.occurrences(empty(spark), words)).collect()] == [3]
 
 
-def test_pii_reads_what_all_windows_read():
-    model = pii.trained()
+def plain_path(e, trans):
+    """Viterbi character by character, between two outside characters."""
+    step, back = np.where(pii._allowed(), trans, -1e4), []
+    score = step[0] + e[0]
+    for row in e[1:]:
+        m = score[:, None] + step
+        back.append(m.argmax(0))
+        score = m.max(0) + row
+    path = [int((score + step[:, 0]).argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return np.array(path[::-1])
+
+
+def plain_spans(model, text):
+    """Windows read one by one with the training form of the network, and one search over the whole text."""
+    n = 1 + max(0, -(-(len(text) - pii.WINDOW) // pii.STRIDE))
+    e, weight = np.zeros((n * pii.STRIDE + pii.OVERLAP, pii.TAGS)), np.zeros(n * pii.STRIDE + pii.OVERLAP)
+    for k in range(n):
+        s = pii.symbols((text + " " * pii.WINDOW)[k * pii.STRIDE :][: pii.WINDOW])
+        x = model.p["E"][s[:, None]]
+        both = np.concatenate([model._pass(x, d, False)[0] for d in "fb"], axis=2)
+        at = slice(k * pii.STRIDE, k * pii.STRIDE + pii.WINDOW)
+        e[at] += (both @ model.p["V"] + model.p["c"])[:, 0] * pii._CENTRE[:, None]
+        weight[at] += pii._CENTRE
+    path, out = plain_path((e / weight[:, None])[: len(text)], model.p["T"]), []
+    for t in np.flatnonzero(path % 2 == 1):
+        end = t + 1
+        while end < len(path) and path[end] == path[t] + 1:
+            end += 1
+        kind = pii.KINDS[path[t] // 2]
+        out += [(t, end, kind)] if pii.holds(kind, text[t:end]) else []
+    return out
+
+
+def test_pii_reads_whole_texts_exactly(monkeypatch):
+    model, rng = pii.trained(), np.random.default_rng(9)
     plain = words(21, 300)
-    texts = ["", "7", "a" * 64, "b" * 65 + "1", plain, f"{plain} 555-867-5309 {plain} jo [at] host [dot] org {plain}", f"10[.]0[.]0[.]1 {plain}", f"{plain} 10.0.0.1"]
-    assert pii.model_spans(model, texts) == pii.model_spans(model, texts, every=True)
-    assert pii._window_starts("b" * 65, every=True) == [0, 32] and pii._window_starts(plain) == []
+    mixed = " ".join(pii._made(rng)[0] if rng.random() < 0.2 else pii._word(rng) for _ in range(900))
+    texts = ["", "7", "a" * 128, "b" * 129 + "1", plain, f"{plain} 555-867-5309 {plain} jo [at] host [dot] org {plain}", f"10[.]0[.]0[.]1 {plain}", f"{plain} 10.0.0.1", mixed, "9" * 700, "\u00e9\n" * 200]
+    want = [plain_spans(model, t) if t else [] for t in texts]
+    assert len(want[8]) > 30
+    for chars, windows in ((1 << 20, 256), (1, 3), (3000, 1)):
+        monkeypatch.setattr(pii, "CHARS_AT_ONCE", chars)
+        monkeypatch.setattr(pii, "WINDOWS_AT_ONCE", windows)
+        assert pii.model_spans(model, texts) == want
+
+
+def test_path_in_pieces_is_the_whole_path(monkeypatch):
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        monkeypatch.setattr(pii, "PIECE", int(r.integers(1, 40)))
+        monkeypatch.setattr(pii, "AROUND", int(r.integers(1, pii.PIECE + 1)))
+        trans = r.normal(0, 6, (pii.TAGS, pii.TAGS)).astype(np.float32)
+        e = r.normal(0, 0.3 + 3 * (seed % 3), (int(r.integers(1, 300)), pii.TAGS)).astype(np.float32)
+        assert (pii.viterbi(e, trans) == plain_path(e, trans)).all()

@@ -5,14 +5,14 @@ The model, trained in numpy from labelled spans that ``examples`` makes (the pat
 ways people write around them), adds what the patterns miss. Base spans always stay; an added
 one overlaps none of them.
 
-The model reads windows of 64 characters every 32. A span it may report holds an anchor (a
-digit, an at sign or a bracketed "at"); read are the windows with an anchor and their neighbours,
-so that every emission around an anchor is the one that reading all windows gives. Paths can
-differ from it only by what lies beyond the read stretch. ``every=True`` reads all windows, at
-several times the CPU. Where windows overlap, their emissions are averaged, weighted towards each
-window's middle, and one Viterbi path is taken over the whole covered stretch, so a span is
-decided once however many windows saw it. An added span must also hold as its kind: 12 to 19
-digits passing Luhn, 9 to 15 digits, four parts of at most 255, or a name, host and domain.
+The model reads every character, in windows of 128 that start every 96. Where windows overlap,
+their emissions are averaged, weighted towards each window's middle, and one Viterbi path is
+taken over the whole text, so a span is decided once however many windows saw it. Texts are
+decoded many at a time, end to end with a place outside between them: the whole row is cut in
+pieces that are scored side by side from guessed beginnings, and a piece whose guess the end of
+the piece before does not bear out is scored again, until all agree. Memory follows the longest
+text. An added span must also hold as its kind: 12 to 19 digits passing Luhn, 9 to 15 digits,
+four parts of at most 255, or a name, host and domain.
 
 Offsets are code points, ends exclusive. Nulls and odd input: a null text counts as empty and
 has no spans; repeated rows are searched one by one; a null doc_id is kept.
@@ -39,11 +39,14 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-ANCHOR = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]")
 
-WINDOW, STRIDE = 64, 32
-#: Windows whose emissions are held at once.
-WINDOWS_AT_ONCE = 512
+#: Characters of a training example; of a window that is read; from one window to the next.
+EXAMPLE, WINDOW, STRIDE = 64, 128, 96
+OVERLAP = WINDOW - STRIDE
+#: Windows that the network reads at once; characters that are decoded at once, or one text.
+WINDOWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
+#: Characters of a piece of the path, and of those beside it that its guess is made from.
+PIECE, AROUND = 512, 64
 
 Span = tuple[int, int, str]
 
@@ -112,6 +115,8 @@ def _symbol_table() -> np.ndarray:
 
 _TABLE = _symbol_table()
 SYMBOL_COUNT = 47
+#: What lies beyond the end of a text.
+BEYOND = 3 + _PUNCT.index(" ")
 
 
 def symbols(text: str) -> np.ndarray:
@@ -159,10 +164,31 @@ class Model:
         return out, kept
 
     def emissions(self, s: np.ndarray) -> np.ndarray:
-        """s: batch, time of symbols; scores as batch, time, tag."""
-        x = self.p["E"][s.T]
-        both = np.concatenate([self._pass(x, "f", False)[0], self._pass(x, "b", False)[0]], axis=2)
-        return (both @ self.p["V"] + self.p["c"]).transpose(1, 0, 2)
+        """s: batch, time of symbols; scores as batch, time, tag.
+
+        Both directions advance together, with gates as rows, and a sigmoid is a tanh of half its
+        argument, so each step is one product and one tanh over all gates.
+        """
+        n, steps, h, width = len(s), s.shape[1], self.hidden, self.p["E"].shape[1]
+        half = np.concatenate((np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)))[:, None]
+        given = [(self.p["E"] @ self.p["W" + d][:width] + self.p["b" + d]).T * half for d in "fb"]
+        wh = np.stack([self.p["W" + d][width:].T * half for d in "fb"])
+        z, state, cell = np.empty((2, 4 * h, n), np.float32), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
+        some, out, across = np.empty_like(cell), np.empty((steps, 2, h, n), np.float32), np.ascontiguousarray(s.T)
+        i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
+        for t in range(steps):
+            np.matmul(wh, state, out=z)
+            z[0] += given[0][:, across[t]]
+            z[1] += given[1][:, across[steps - 1 - t]]
+            np.tanh(z, out=z)
+            z[:, : 3 * h] *= 0.5
+            z[:, : 3 * h] += 0.5
+            cell *= f
+            cell += np.multiply(i, g, out=some)
+            np.multiply(np.tanh(cell, out=some), o, out=state)
+            out[t] = state
+        scores = self.p["V"][:h].T @ out[:, 0] + self.p["V"][h:].T @ out[::-1, 1]
+        return scores.transpose(2, 0, 1) + self.p["c"]
 
     def gradient(self, s: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tags ``y`` (batch, time) and its gradient."""
@@ -231,21 +257,69 @@ def _allowed() -> np.ndarray:
     return ok
 
 
+_BARRED = -1e4
+
+
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """The best path through one stretch of emissions (time, tag)."""
-    step = np.where(_allowed(), trans, -1e4)
-    score = e[0].copy()
-    score[2::2] = -1e4
-    back = np.empty(e.shape, np.int64)
-    for t in range(1, len(e)):
-        m = score[:, None] + step
-        back[t] = m.argmax(0)
-        score = m[back[t], np.arange(TAGS)] + e[t]
-    path = np.empty(len(e), np.int64)
-    path[-1] = score.argmax()
-    for t in range(len(e) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    """The best path through emissions (time, tag) that lie between two outside characters."""
+    steps, tags = e.shape
+    n = steps // PIECE + 1
+    step = np.where(_allowed(), trans, _BARRED).astype(np.float32)
+    rows = np.full((n * PIECE, tags), _BARRED, np.float32)
+    rows[:steps] = e
+    rows[steps:, 0] = 0
+    rows = np.ascontiguousarray(rows.reshape(n, PIECE, tags).transpose(1, 2, 0))
+    free = np.array([0, *range(1, tags, 2)])  # tags that may follow any
+    into_free = np.ascontiguousarray(step[:, free].T)[:, :, None]
+    first = np.arange(1, tags, 2)
+    from_first, from_later = step[first, first + 1][:, None], step[first + 1, first + 1][:, None]
+
+    def forward(some: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Scores after each row of ``some`` (time, tag, piece), the best of each as 0."""
+        out = np.empty(some.shape, np.float32)
+        for t in range(len(some)):
+            now = out[t]
+            now[free] = (score[None] + into_free).max(axis=1)
+            now[first + 1] = np.maximum(score[first] + from_first, score[first + 1] + from_later)
+            now += some[t]
+            now -= now.max(axis=0)
+            score = now
+        return out
+
+    def behind(score: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        return (score + step[:, tag]).argmax(axis=0)
+
+    def backward(some: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """Tags at each row of ``some`` on the best paths that end in ``tag``."""
+        out = np.empty((len(some), some.shape[2]), np.int8)
+        out[-1] = tag
+        for t in range(len(some) - 1, 0, -1):
+            out[t - 1] = tag = behind(some[t - 1], tag)
+        return out
+
+    begin = np.full((tags, n), _BARRED, np.float32)
+    begin[0] = 0
+    begin[:, 1:] = forward(rows[-AROUND:, :, :-1], np.zeros((tags, n - 1), np.float32))[-1]
+    scores = forward(rows, begin)
+    while True:
+        ends = np.maximum(scores[-1, :, :-1], _BARRED)
+        wrong = 1 + np.flatnonzero((np.abs(np.maximum(begin[:, 1:], _BARRED) - ends) > 1e-2).any(axis=0))
+        if not len(wrong):
+            break
+        begin[:, wrong] = ends[:, wrong - 1]
+        scores[:, :, wrong] = forward(rows[:, :, wrong], begin[:, wrong])
+
+    last = np.zeros(n, np.int64)
+    beyond = backward(scores[:AROUND, :, 1:], scores[AROUND - 1, :, 1:].argmax(axis=0))
+    last[:-1] = behind(scores[-1, :, :-1], beyond[0])
+    path = backward(scores, last)
+    while True:
+        found = behind(scores[-1, :, :-1], path[0, 1:])
+        wrong = np.flatnonzero(found != last[:-1])
+        if not len(wrong):
+            return path.T.ravel()[:steps].astype(np.int64)
+        last[wrong] = found[wrong]
+        path[:, wrong] = backward(scores[:, :, wrong], last[wrong])
 
 
 # --- labelled spans ------------------------------------------------------------------------
@@ -295,10 +369,10 @@ def _made(rng: np.random.Generator) -> tuple[str, str | None]:
 
 def examples(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n labelled windows: symbols and tags."""
-    xs, ys = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
+    xs, ys = np.zeros((n, EXAMPLE), np.int64), np.zeros((n, EXAMPLE), np.int64)
     for r in range(n):
         text, tags = "", []
-        while len(text) < 2 * WINDOW:
+        while len(text) < 2 * EXAMPLE:
             if rng.random() < 0.12:
                 piece, kind = _made(rng)
                 first = 1 + 2 * KINDS.index(kind) if kind else 0
@@ -309,8 +383,8 @@ def examples(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
             gap = str(rng.choice([" ", " ", " ", " ", ", ", ". ", ".\n", ": "]))
             text, tags = text + gap, tags + [0] * len(gap)
         # a window that cuts a span begins inside it
-        at = int(rng.integers(0, WINDOW))
-        xs[r], ys[r] = symbols(text)[at : at + WINDOW], tags[at : at + WINDOW]
+        at = int(rng.integers(0, EXAMPLE))
+        xs[r], ys[r] = symbols(text)[at : at + EXAMPLE], tags[at : at + EXAMPLE]
     return xs, ys
 
 
@@ -340,20 +414,6 @@ def trained(seed: int = 11, steps: int = 260, batch: int = 64) -> Model:
 _CENTRE = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
 
 
-def _window_starts(text: str, every: bool = False) -> list[int]:
-    """Starts of the windows to read, every STRIDE characters: those that hold an anchor and their neighbours, or all."""
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE)) if text else -1
-    if every:
-        return [k * STRIDE for k in range(last + 1)]
-    found: set[int] = set()
-    reach = WINDOW // STRIDE
-    for m in ANCHOR.finditer(text):
-        # an anchor in brackets may run on into the next windows
-        a, b = m.start() // STRIDE, (m.end() - 1) // STRIDE
-        found.update(range(max(0, a - reach), min(last, b + 1) + 1))
-    return [k * STRIDE for k in sorted(found)]
-
-
 _AT = re.compile(r" ?(?:@|[(\[] ?at ?[)\]]) ?")
 _DOT = re.compile(r" ?(?:\.|[(\[] ?(?:dot|\.) ?[)\]]) ?")
 
@@ -375,51 +435,60 @@ def holds(kind: str, piece: str) -> bool:
     return len(names) >= 2 and all(re.fullmatch(r"[A-Za-z0-9-]+", x) for x in names) and re.fullmatch(r"[A-Za-z]{2,}", names[-1]) is not None
 
 
-def _stretches(starts: list[int], length: int) -> Iterator[tuple[int, int]]:
-    """Runs of characters that the windows cover without a gap."""
-    k = 0
-    while k < len(starts):
-        j = k
-        while j + 1 < len(starts) and starts[j + 1] <= starts[j] + WINDOW:
-            j += 1
-        yield starts[k], min(starts[j] + WINDOW, length)
-        k = j + 1
-
-
-def model_spans(model: Model, texts: list[str], every: bool = False) -> list[list[Span]]:
-    """Per text the spans on the best path that hold as their kind."""
-    starts = [_window_starts(t, every) for t in texts]
-    jobs = [(i, s) for i, found in enumerate(starts) for s in found]
-    sums: dict[int, tuple[dict[int, np.ndarray], dict[int, np.ndarray]]] = {}
-    coded = {i: symbols(texts[i]) for i in {i for i, _ in jobs}}
-    for at in range(0, len(jobs), WINDOWS_AT_ONCE):
-        some = jobs[at : at + WINDOWS_AT_ONCE]
-        block = np.zeros((len(some), WINDOW), np.int64)
-        for r, (i, s) in enumerate(some):
-            piece = coded[i][s : s + WINDOW]
-            block[r, : len(piece)] = piece
-        weighted = model.emissions(block) * _CENTRE[None, :, None]
-        for r, (i, s) in enumerate(some):
-            score, weight = sums.setdefault(i, ({}, {}))
-            for half in range(0, WINDOW, STRIDE):
-                k = (s + half) // STRIDE
-                score[k] = score.get(k, 0) + weighted[r, half : half + STRIDE]
-                weight[k] = weight.get(k, 0) + _CENTRE[half : half + STRIDE]
+def _windows(text: str) -> np.ndarray:
+    """The symbols of each window of a text that is not empty."""
+    count = 1 + max(0, -(-(len(text) - WINDOW) // STRIDE))
+    padded = np.full((count - 1) * STRIDE + WINDOW, BEYOND, np.int64)
+    padded[: len(text)] = symbols(text)
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+
+
+def _reconciled(weighted: np.ndarray, length: int) -> np.ndarray:
+    """Emissions of a text from those of its windows, which are weighted already."""
+    body = np.zeros((len(weighted) + 1, STRIDE, TAGS), np.float32)
+    body[:-1] = weighted[:, :STRIDE]
+    body[1:, :OVERLAP] += weighted[:, STRIDE:]
+    weight = np.tile(_CENTRE[:STRIDE], (len(body), 1))
+    weight[1:, :OVERLAP] += _CENTRE[STRIDE:]
+    weight[-1, :OVERLAP] = _CENTRE[STRIDE:]
+    return (body / weight[:, :, None]).reshape(-1, TAGS)[:length]
+
+
+def _groups(texts: list[str]) -> Iterator[list[int]]:
+    """Texts that are not empty, in order, in groups of CHARS_AT_ONCE characters or one text."""
+    some, held = [], 0
+    for i, text in enumerate(texts):
+        if some and held + len(text) > CHARS_AT_ONCE:
+            yield some
+            some, held = [], 0
+        if text:
+            some.append(i)
+            held += len(text)
+    if some:
+        yield some
+
+
+def model_spans(model: Model, texts: list[str]) -> list[list[Span]]:
+    """Per text the spans on the best path that hold as their kind; every character is read."""
     out: list[list[Span]] = [[] for _ in texts]
-    for i, (score, weight) in sums.items():
-        text = texts[i]
-        for a, b in _stretches(starts[i], len(text)):
-            blocks = range(a // STRIDE, -(-b // STRIDE))
-            e = np.concatenate([score[k] / weight[k][:, None] for k in blocks])[: b - a]
-            path = viterbi(e, model.p["T"])
-            begins = np.flatnonzero(path % 2 == 1)
-            for t in begins:
-                end = t + 1
-                while end < len(path) and path[end] == path[t] + 1:
-                    end += 1
-                kind, piece = KINDS[path[t] // 2], text[a + t : a + end]
-                if holds(kind, piece):
-                    out[i].append((a + int(t), a + int(end), kind))
+    for group in _groups(texts):
+        windows = [_windows(texts[i]) for i in group]
+        first = np.concatenate(([0], np.cumsum([len(w) for w in windows])))
+        rows = np.concatenate(windows).astype(np.int8)
+        weighted = np.concatenate([model.emissions(rows[k : k + WINDOWS_AT_ONCE]) * _CENTRE[None, :, None] for k in range(0, len(rows), WINDOWS_AT_ONCE)])
+        begins = np.concatenate(([0], np.cumsum([len(texts[i]) + 1 for i in group])))
+        e = np.full((begins[-1], TAGS), _BARRED, np.float32)
+        e[begins[1:] - 1, 0] = 0
+        for k, i in enumerate(group):
+            e[begins[k] : begins[k] + len(texts[i])] = _reconciled(weighted[first[k] : first[k + 1]], len(texts[i]))
+        path = viterbi(e, model.p["T"])
+        over = np.flatnonzero((path == 0) | (path % 2 == 1))  # where a span that began earlier is over
+        for t in np.flatnonzero(path % 2 == 1):
+            k = int(np.searchsorted(begins, t, "right")) - 1
+            i, start, end = group[k], int(t - begins[k]), int(over[np.searchsorted(over, t, "right")] - begins[k])
+            kind = KINDS[path[t] // 2]
+            if holds(kind, texts[i][start:end]):
+                out[i].append((start, end, kind))
     return out
 
 
@@ -427,8 +496,10 @@ def all_spans(model: Model, texts: list[str]) -> list[tuple[list[Span], list[Spa
     """Per text its base spans, and those with what the model adds."""
     found = []
     for base, more in zip([base_spans(t) for t in texts], model_spans(model, texts)):
-        covered = [(s, e) for s, e, _ in base]
-        added = [x for x in more if not any(s < x[1] and x[0] < e for s, e in covered)]
+        covered = np.zeros(max((e for _, e, _ in base + more), default=0), dtype=bool)
+        for s, e, _ in base:
+            covered[s:e] = True
+        added = [x for x in more if not covered[x[0] : x[1]].any()]
         found.append((base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))))
     return found
 
