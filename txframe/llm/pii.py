@@ -5,7 +5,7 @@ The model, trained in numpy from labelled spans that ``examples`` makes (the pat
 ways people write around them), adds what the patterns miss. Base spans always stay; an added
 one overlaps none of them.
 
-The model reads every character, in windows of 128 that start every 96. Where windows overlap,
+The model reads every character, in windows of 256 that start every 224. Where windows overlap,
 their emissions are averaged, weighted towards each window's middle, and one Viterbi path is
 taken over the whole text, so a span is decided once however many windows saw it. Texts are
 decoded many at a time, end to end with a place outside between them: the whole row is cut in
@@ -41,10 +41,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 #: Characters of a training example; of a window that is read; from one window to the next.
-EXAMPLE, WINDOW, STRIDE = 64, 128, 96
+EXAMPLE, WINDOW, STRIDE = 64, 256, 224
 OVERLAP = WINDOW - STRIDE
 #: Windows that the network reads at once; characters that are decoded at once, or one text.
-WINDOWS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
+WINDOWS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 20
 #: Characters of a piece of the path, and of those beside it that its guess is made from.
 PIECE, AROUND = 512, 64
 
@@ -132,7 +132,7 @@ class Model:
     hidden: int
 
     @staticmethod
-    def fresh(rng: np.random.Generator, hidden: int = 20, width: int = 10) -> "Model":
+    def fresh(rng: np.random.Generator, hidden: int = 12, width: int = 10) -> "Model":
         def normal(*shape: int) -> np.ndarray:
             return rng.normal(0, 1 / np.sqrt(shape[0]), shape)
 
@@ -174,7 +174,7 @@ class Model:
         given = [(self.p["E"] @ self.p["W" + d][:width] + self.p["b" + d]).T * half for d in "fb"]
         wh = np.stack([self.p["W" + d][width:].T * half for d in "fb"])
         z, state, cell = np.empty((2, 4 * h, n), np.float32), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
-        some, out, across = np.empty_like(cell), np.empty((steps, 2, h, n), np.float32), np.ascontiguousarray(s.T)
+        some, out, across = np.empty_like(cell), np.empty((steps, 2, h, n), np.float32), np.ascontiguousarray(s.T, dtype=np.intp)
         i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
         for t in range(steps):
             np.matmul(wh, state, out=z)
@@ -187,8 +187,10 @@ class Model:
             cell += np.multiply(i, g, out=some)
             np.multiply(np.tanh(cell, out=some), o, out=state)
             out[t] = state
-        scores = self.p["V"][:h].T @ out[:, 0] + self.p["V"][h:].T @ out[::-1, 1]
-        return scores.transpose(2, 0, 1) + self.p["c"]
+        scores = self.p["V"][:h].T @ out[:, 0]
+        scores += self.p["V"][h:].T @ out[::-1, 1]
+        scores += self.p["c"][:, None]
+        return scores.transpose(2, 0, 1)
 
     def gradient(self, s: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tags ``y`` (batch, time) and its gradient."""
@@ -269,25 +271,25 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     rows[:steps] = e
     rows[steps:, 0] = 0
     rows = np.ascontiguousarray(rows.reshape(n, PIECE, tags).transpose(1, 2, 0))
-    free = np.array([0, *range(1, tags, 2)])  # tags that may follow any
-    into_free = np.ascontiguousarray(step[:, free].T)[:, :, None]
-    first = np.arange(1, tags, 2)
-    from_first, from_later = step[first, first + 1][:, None], step[first + 1, first + 1][:, None]
+    first, later = slice(1, None, 2), slice(2, None, 2)
+    into_outside, into_first = step[:, :1], np.ascontiguousarray(step[:, first].T)[:, :, None]
+    follows = np.diag(step, 1)[first, None], np.diag(step)[later, None]
 
     def forward(some: np.ndarray, score: np.ndarray) -> np.ndarray:
         """Scores after each row of ``some`` (time, tag, piece), the best of each as 0."""
         out = np.empty(some.shape, np.float32)
         for t in range(len(some)):
             now = out[t]
-            now[free] = (score[None] + into_free).max(axis=1)
-            now[first + 1] = np.maximum(score[first] + from_first, score[first + 1] + from_later)
+            (score + into_outside).max(axis=0, out=now[0])
+            (score[None] + into_first).max(axis=1, out=now[first])
+            np.maximum(score[first] + follows[0], score[later] + follows[1], out=now[later])
             now += some[t]
             now -= now.max(axis=0)
             score = now
         return out
 
     def behind(score: np.ndarray, tag: np.ndarray) -> np.ndarray:
-        return (score + step[:, tag]).argmax(axis=0)
+        return (score + np.take(step, tag, axis=1, mode="clip")).argmax(axis=0)
 
     def backward(some: np.ndarray, tag: np.ndarray) -> np.ndarray:
         """Tags at each row of ``some`` on the best paths that end in ``tag``."""
@@ -389,7 +391,7 @@ def examples(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def trained(seed: int = 11, steps: int = 260, batch: int = 64) -> Model:
+def trained(seed: int = 11, steps: int = 400, batch: int = 64) -> Model:
     """The model after ``steps`` of Adam over made examples; the same for the same arguments."""
     rng = np.random.default_rng(seed)
     model, rate = Model.fresh(rng), 0.02
