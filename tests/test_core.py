@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tests.oracle import connection, differs
@@ -46,6 +48,40 @@ def test_gap_waits_and_overwrite_restarts(spark):
     assert got == {1: (2, 5, 1), 2: (10, 3, 0)}
 
 
+def test_pops_expire(spark):
+    waiters = [(1, 1, 10, 20), (1, 2, 11, None), (1, 3, 40, 50), (2, 4, 5, 9), (2, 5, 6, None), (3, 6, 10, 99), (3, 7, 10, 5), (None, 8, 1, None), (3, 9, 200, None)]
+    elements = [(1, 101, 20), (1, 102, 30), (2, 103, 9), (4, 104, 1), (1, 105, 41)]
+    w = spark.createDataFrame(waiters, "key long, waiter long, at long, deadline long")
+    e = spark.createDataFrame(elements, "key long, element long, at long")
+    got = {r.waiter: (r.element, r.at, r.outcome) for r in commands.pop_expiring(w, e, 60).collect()}
+    assert got == {1: (None, 20, "expired"), 2: (101, 20, "popped"), 3: (102, 40, "popped"), 4: (None, 9, "expired"), 5: (103, 9, "popped"), 6: (None, None, "waiting"), 7: (None, 5, "expired")}
+    assert commands.pop_expiring(w.limit(0), e.limit(0), 60).count() == 0
+
+
+def test_pops_agree_with_a_plain_queue(spark):
+    rng = random.Random(3)
+    waiters = [(rng.randrange(5), i, t := rng.randrange(400), rng.choice([None, t + rng.randrange(1, 60)])) for i in range(300)]
+    elements = [(rng.randrange(5), 1000 + i, rng.randrange(400)) for i in range(250)]
+    want, taken = {}, set()
+    came = sorted([(t, 0, n, k) for k, n, t in elements] + [(t, 1, n, k) for k, n, t, _ in waiters])
+    due, born = {n: d for _, n, _, d in waiters}, {n: (t, k) for k, n, t, _ in waiters}
+    for t, kind, n, k in came:
+        if kind == 0:
+            open_ = sorted((born[x][0], x) for x in born if born[x][1] == k and born[x][0] < t and x not in want and (due[x] is None or due[x] > t))
+            if open_:
+                want[open_[0][1]] = (n, t, "popped")
+                taken.add(n)
+        else:
+            free = sorted((at, x) for kk, x, at in elements if kk == k and at <= t and x not in taken)
+            if free:
+                want[n] = (free[0][1], t, "popped")
+                taken.add(free[0][1])
+    for n, d in due.items():
+        want.setdefault(n, (None, d, "expired") if d is not None and d <= 420 else (None, None, "waiting"))
+    got = commands.pop_expiring(spark.createDataFrame(waiters, "key long, waiter long, at long, deadline long"), spark.createDataFrame(elements, "key long, element long, at long"), 420).collect()
+    assert {r.waiter: (r.element, r.at, r.outcome) for r in got} == want and len(got) == 300
+
+
 def test_murmur3(spark):
     def plain(x, seed):
         m = 0xFFFFFFFF

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +67,62 @@ def pop_match(waiters: DataFrame, elements: DataFrame) -> DataFrame:
     """Per key the n-th waiter gets the n-th element."""
     rank = lambda o: F.row_number().over(Window.partitionBy("key").orderBy(o))
     return waiters.withColumn("n", rank("waiter")).join(elements.withColumn("n", rank("element")), ["key", "n"]).select("key", "waiter", "element")
+
+
+POPS = "key long, waiter long, element long, at long, outcome string"
+
+
+def pop_expiring(waiters: DataFrame, elements: DataFrame, now: int) -> DataFrame:
+    """Blocking pops whose waits can end: per waiter (key, waiter, at, deadline) its element and outcome.
+
+    Elements (key, element, at) go to the waiter that came first among those still waiting, or are
+    kept for the next one. A wait is over once the time is its deadline; a null deadline never
+    comes. The outcome is popped, expired, or waiting at ``now``, with the time it came about
+    (null while waiting). At equal times elements come before waiters, then least number first;
+    rows after ``now`` do not count, nor do rows with a null key or time.
+
+    Who gets what depends on all that came before, so a key is one sequence: its rows are sorted
+    by the shuffle and read as they come, and only the queue is held.
+    """
+    same = waiters.select("key", "at", F.lit(1).alias("kind"), F.col("waiter").alias("id"), "deadline").unionByName(elements.select("key", "at", F.lit(0).alias("kind"), F.col("element").alias("id"), F.lit(None).cast("long").alias("deadline")))
+    rows = same.filter(F.col("key").isNotNull() & (F.col("at") <= now)).select(F.col("key").cast("long").alias("key"), F.col("at").cast("long").alias("at"), "kind", F.col("id").cast("long").alias("id"), F.col("deadline").cast("long").alias("deadline"))
+    schema = pa.schema([("key", pa.int64()), ("waiter", pa.int64()), ("element", pa.int64()), ("at", pa.int64()), ("outcome", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting, kept, out = None, deque(), deque(), []
+
+        def over(by: int, deadline: int | None) -> bool:
+            return deadline is not None and deadline <= by
+
+        def close() -> None:
+            out.extend((key, w, None, d if over(now, d) else None, "expired" if over(now, d) else "waiting") for w, d in waiting)
+            waiting.clear()
+            kept.clear()
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            for k, at, kind, number, deadline in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    close()
+                    key = k
+                if kind == 0:
+                    while waiting and over(at, waiting[0][1]):
+                        w, d = waiting.popleft()
+                        out.append((key, w, None, d, "expired"))
+                    if waiting:
+                        out.append((key, waiting.popleft()[0], number, at, "popped"))
+                    else:
+                        kept.append(number)
+                elif kept:
+                    out.append((key, number, kept.popleft(), at, "popped"))
+                else:
+                    waiting.append((number, deadline))
+            yield made()
+        close()
+        yield made()
+
+    return rows.repartition("key").sortWithinPartitions("key", "at", "kind", "id").mapInArrow(run, POPS)

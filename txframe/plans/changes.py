@@ -124,6 +124,12 @@ def _pop(s, d):
     return cmd.pop_match(v.filter("object_type = 'view'").select("key", F.col("commit_ts").alias("waiter")), v.filter("object_type = 'purchase'").select("key", F.col("commit_ts").alias("element")))
 
 
+def _pop_expiring(s, d):
+    v, hour = version_log(s, d), 3_600_000_000
+    at = F.col("commit_ts")
+    return cmd.pop_expiring(v.filter("object_type = 'view'").select("key", at.alias("waiter"), at.alias("at"), (at + 24 * hour).alias("deadline")), v.filter("object_type = 'purchase'").select("key", at.alias("element"), at.alias("at")), READ_TS)
+
+
 APPLY_SQL = f"""{C}, o AS (SELECT key, max(new_version) AS f FROM c WHERE overwrite GROUP BY 1),
  k AS (SELECT c.* FROM c LEFT JOIN o USING (key) WHERE f IS NULL OR new_version >= f)"""
 
@@ -191,5 +197,6 @@ QUERIES = {
     "standby_progress": (_running, f"{V} SELECT key % 4 AS seq_grp, event_id AS seq_id, max(commit_ts) OVER (PARTITION BY key % 4 ORDER BY event_id) AS consistent_ts FROM v WHERE event_id % 3 = 0"),
     "standby_lag": (lambda s, d: cmd.lag(_progress(s, d), _progress(s, d).filter("seq_id % 97 = 0")), f"{V} SELECT key % 4 AS seq_grp, max(event_id) AS sent, coalesce(max(CASE WHEN event_id % 97 = 0 THEN event_id END), 0) AS acked, max(event_id) - coalesce(max(CASE WHEN event_id % 97 = 0 THEN event_id END), 0) AS lag FROM v GROUP BY 1"),
     "pubsub_fanout": (_fanout, f"{V}, s AS (SELECT i AS subscriber, (['click', 'view', 'error', 'signup'])[i % 4 + 1] AS channel FROM (SELECT unnest(range(0, 12)) AS i)) SELECT channel, event_id AS message, subscriber FROM v JOIN s ON v.object_type = s.channel WHERE k < 5"),
+    "blocking_pop_expiring": (_pop_expiring, None),  # a queue; held against a plain one in tests
     "blocking_pop_match": (_pop, f"{V}, w AS (SELECT key, commit_ts AS waiter, row_number() OVER (PARTITION BY key ORDER BY commit_ts) AS n FROM v WHERE object_type = 'view'), e AS (SELECT key, commit_ts AS element, row_number() OVER (PARTITION BY key ORDER BY commit_ts) AS n FROM v WHERE object_type = 'purchase') SELECT key, waiter, element FROM w JOIN e USING (key, n)"),
 }
