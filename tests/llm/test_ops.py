@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -335,3 +336,11 @@ def test_path_in_pieces_is_the_whole_path(monkeypatch):
         trans = r.normal(0, 6, (pii.TAGS, pii.TAGS)).astype(np.float32)
         e = r.normal(0, 0.3 + 3 * (seed % 3), (int(r.integers(1, 300)), pii.TAGS)).astype(np.float32)
         assert (pii.viterbi(e, trans) == plain_path(e, trans)).all()
+
+
+def test_addresses_match_the_plain_pattern():
+    plain, rng = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(8)
+    for _ in range(3000):
+        t = "".join(rng.choice("12..a ") for _ in range(40))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
+    assert pii.base_spans("9" * 300_000) == []

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match can only begin where digits begin, and stating so keeps long runs of digits linear.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -47,6 +48,8 @@ OVERLAP = WINDOW - STRIDE
 WINDOWS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 20
 #: Characters of a piece of the path, and of those beside it that its guess is made from.
 PIECE, AROUND = 512, 64
+#: Turns in which all pieces whose guess failed are scored again side by side; what is left then goes in order.
+ROUNDS = 3
 
 Span = tuple[int, int, str]
 
@@ -303,11 +306,18 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     begin[0] = 0
     begin[:, 1:] = forward(rows[-AROUND:, :, :-1], np.zeros((tags, n - 1), np.float32))[-1]
     scores = forward(rows, begin)
-    while True:
+    for turn in range(n):  # after a few turns the rest is scored in order, so that no piece is scored often
         ends = np.maximum(scores[-1, :, :-1], _BARRED)
         wrong = 1 + np.flatnonzero((np.abs(np.maximum(begin[:, 1:], _BARRED) - ends) > 1e-2).any(axis=0))
         if not len(wrong):
             break
+        if turn == ROUNDS:
+            for k in range(wrong[0], n):
+                end = np.maximum(scores[-1, :, k - 1 : k], _BARRED)
+                if (np.abs(np.maximum(begin[:, k : k + 1], _BARRED) - end) > 1e-2).any():
+                    begin[:, k : k + 1] = end
+                    scores[:, :, k : k + 1] = forward(rows[:, :, k : k + 1], end)
+            break
         begin[:, wrong] = ends[:, wrong - 1]
         scores[:, :, wrong] = forward(rows[:, :, wrong], begin[:, wrong])
 
@@ -315,13 +325,21 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     beyond = backward(scores[:AROUND, :, 1:], scores[AROUND - 1, :, 1:].argmax(axis=0))
     last[:-1] = behind(scores[-1, :, :-1], beyond[0])
     path = backward(scores, last)
-    while True:
+    for turn in range(n):
         found = behind(scores[-1, :, :-1], path[0, 1:])
         wrong = np.flatnonzero(found != last[:-1])
         if not len(wrong):
-            return path.T.ravel()[:steps].astype(np.int64)
+            break
+        if turn == ROUNDS:
+            for k in range(wrong[-1], -1, -1):
+                found = behind(scores[-1, :, k : k + 1], path[0, k + 1 : k + 2])
+                if found[0] != last[k]:
+                    last[k] = found[0]
+                    path[:, k : k + 1] = backward(scores[:, :, k : k + 1], last[k : k + 1])
+            break
         last[wrong] = found[wrong]
         path[:, wrong] = backward(scores[:, :, wrong], last[wrong])
+    return path.T.ravel()[:steps].astype(np.int64)
 
 
 # --- labelled spans ------------------------------------------------------------------------
