@@ -344,3 +344,15 @@ def test_addresses_match_the_plain_pattern():
         t = "".join(rng.choice("12..a ") for _ in range(40))
         assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
     assert pii.base_spans("9" * 300_000) == []
+
+
+def test_decontamination_stage_drops_documents_with_one_item(spark, tmp_path):
+    item, other = words(31, 30), words(32, 30)
+    spark.createDataFrame([(1, item), (2, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cut = " ".join(item.split()[5:13])
+    rows = [
+        (1, f"{words(33, 20)} {item.upper()} {words(34, 20)}"), (2, f"{words(35, 20)} {cut}"), (3, " ".join(item.split()[5:12])), (4, words(36, 40)), (4, words(36, 40)),
+        (5, f"{item} {other}"), (None, cut), (None, words(37, 9)), (6, None), (4, other),
+    ]
+    got = decontaminate.decontamination_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(pairs(got, "doc_id", "text"), key=str) == sorted([rows[2], rows[3], rows[4], rows[7], rows[8]], key=str)
