@@ -356,3 +356,16 @@ def test_decontamination_stage_drops_documents_with_one_item(spark, tmp_path):
     ]
     got = decontaminate.decontamination_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
     assert sorted(pairs(got, "doc_id", "text"), key=str) == sorted([rows[2], rows[3], rows[4], rows[7], rows[8]], key=str)
+
+
+def test_jaccard_stage_keeps_one_row_of_each_class(spark):
+    a, b, c, d, e, f = (words(i, 60) for i in range(41, 47))
+    near = lambda t: " ".join([*t.split()[:-1], "zzz"])
+    stay = [(None, a), (None, b), (3, c), (3, d), (5, e), (None, None), (None, " \n"), (None, None), (7, ""), (7, " "), (8, None)]
+    goes = [(None, a), (4, near(c)), (9, d), (None, near(e)), (None, e), (3, c), (7, "")]
+    sides = [(2, f), (None, near(f)), (6, near(f))]
+    rows = spark.createDataFrame(stay + goes + sides, "doc_id long, text string").withColumn("n", F.lit(1)).repartition(3)
+    got = jaccard.jaccard_stage(spark, rows, SF)
+    assert got.columns == ["doc_id", "text", "n"]
+    assert sorted(pairs(got, "doc_id", "text"), key=str) == sorted(stay + sides[:1], key=str)
+    assert jaccard.jaccard_stage(spark, rows.limit(0), SF).count() == 0

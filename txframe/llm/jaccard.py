@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, staged
+from .common import OWN, SPACES, staged
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -263,18 +263,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id, copy_id, n_copies, n_links, n_texts and text_hash.
-
-    class_id is the least doc_id of all that links reach, copy_id that of the texts with an
-    equal shingle set; n_links counts the other rows at the threshold or over, n_texts the other
-    classes of equal sets among them.
-    """
+def _linked(docs: DataFrame, threshold: float, words: int, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows of ``docs``, and per class of equal sets its numbers, its pick (a row, null doc_id last) and the label of its component."""
     text = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     banding = choose_banding(threshold, recall)
     sketches = staged(text.mapInArrow(_sketcher(banding, words), "doc_id long, h long, key binary, n long, bands array<long>"))
     per_key = sketches.filter(F.col("key").isNotNull()).groupBy("key")
-    classes = staged(per_key.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "h")).alias("pick"), F.max(F.struct("n", "bands")).alias("s")).select("key", "first_id", "copies", "pick", "s.n", "s.bands"))
+    classes = staged(per_key.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("pick"), F.max(F.struct("n", "bands")).alias("s")).select("key", "first_id", "copies", "pick", "s.n", "s.bands"))
 
     spread = classes.select("key", "n", F.explode("bands").alias("bucket"))
     met = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).filter("members > 1")
@@ -297,7 +292,18 @@ def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, words: int = WO
     linked = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     edges = found.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
     labels = components(edges)
-    named = classes.select("key", "first_id", "copies").join(linked, "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = classes.select("key", "first_id", "copies", "pick").join(linked, "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    return sketches, named
+
+
+def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs``: doc_id, class_id, copy_id, n_copies, n_links, n_texts and text_hash.
+
+    class_id is the least doc_id of all that links reach, copy_id that of the texts with an
+    equal shingle set; n_links counts the other rows at the threshold or over, n_texts the other
+    classes of equal sets among them.
+    """
+    sketches, named = _linked(docs, threshold, words, recall, block)
     least = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
     named = named.join(least, "label").select("key", "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), "class_id")
     out = sketches.select("doc_id", "h", "key").join(named, "key", "left")
@@ -308,15 +314,18 @@ def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, words: int = WO
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that with the least doc_id; columns unchanged.
+    """One document of each class, that with the least doc_id, then the least text hash; columns unchanged.
 
-    Rows that repeat the kept doc_id give one row, that with the least text hash first; rows with
-    a null doc_id stay only where their class has no other.
+    A row with a null doc_id stays only where its class has no other. Repeats of the kept row (same
+    doc_id and text) give one row. A text without words is a class of its own: all with a null
+    doc_id stay, and repeats of a doc_id and text give one row.
     """
-    found = ngram_jaccard(docs.select("doc_id", "text"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias(OWN + "id")).agg(F.min("text_hash").alias(OWN + "h"))
-    kept = staged(kept)
-    hashed = docs.withColumn(OWN + "t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sketches, named = _linked(docs.select("doc_id", "text"), THRESHOLD, WORDS, RECALL, BLOCK)
+    chosen = named.groupBy("label").agg(F.min("pick").alias("pick")).select("pick.doc_id", "pick.h")
+    wordless = sketches.filter("key IS NULL AND doc_id IS NOT NULL").select("doc_id", "h").distinct()
+    kept = staged(chosen.unionByName(wordless).select(F.col("doc_id").alias(OWN + "id"), F.col("h").alias(OWN + "h")))
+    alone = F.col("doc_id").isNull() & (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))) == 0)
+    hashed = docs.filter(~alone).withColumn(OWN + "t", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = F.col("doc_id").eqNullSafe(F.col(OWN + "id")) & (F.col(OWN + "t") == F.col(OWN + "h"))
     joined = hashed.join(kept, same)
-    return joined.dropDuplicates(["doc_id", OWN + "t"]).select(*docs.columns)
+    return joined.dropDuplicates(["doc_id", OWN + "t"]).select(*docs.columns).unionByName(docs.filter(alone))
