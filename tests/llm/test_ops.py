@@ -369,3 +369,14 @@ def test_jaccard_stage_keeps_one_row_of_each_class(spark):
     assert got.columns == ["doc_id", "text", "n"]
     assert sorted(pairs(got, "doc_id", "text"), key=str) == sorted(stay + sides[:1], key=str)
     assert jaccard.jaccard_stage(spark, rows.limit(0), SF).count() == 0
+
+
+def test_language_learns_rare_languages(spark):
+    """Two documents among 20,000, whose hashes a thinning to 8192 left out."""
+    common = F.concat(F.lit("the water under the bridge is cold number "), F.col("id").cast("string"))
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), common.alias("text"), F.lit("en").alias("lang"))
+    kept = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(0.6 * (1 << 30))
+    ids = [r.doc_id for r in spark.range(20_000, 20_100).select(F.col("id").alias("doc_id")).filter(~language.held_out(F.col("doc_id")) & ~kept).limit(2).collect()]
+    few = spark.createDataFrame([(i, "zyq wvx kjq xzz qqk", "xx") for i in ids], "doc_id long, text string, lang string")
+    got = language.identify(many.unionByName(few)).filter(F.col("doc_id").isin(ids)).collect()
+    assert [r.lang_pred for r in got] == ["xx", "xx"]

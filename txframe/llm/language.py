@@ -24,8 +24,6 @@ from .common import OWN
 
 DIMS = 512
 SEED = 97
-#: Most documents, about, that prototypes are bundled from; more are thinned by a hash of doc_id.
-MAX_LEARNED = 8192
 #: Letters are told apart by their code point modulo this (a prime).
 SYMBOLS = 509
 _BLANK = 0
@@ -93,12 +91,9 @@ def _bundler(dims: int, seed: int):
     return run
 
 
-def learn(docs: DataFrame, limit: int = MAX_LEARNED, dims: int = DIMS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
-    """Languages, in order, and their unit prototypes, from the rows of ``docs`` with a language."""
+def learn(docs: DataFrame, dims: int = DIMS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
+    """Languages, in order, and their unit prototypes, from all rows of ``docs`` with a language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    if n > limit:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) < int(limit / n * (1 << 30)))
     sums: dict[str, np.ndarray] = {}
     for r in rows.select("lang", "text").mapInArrow(_bundler(dims, seed), "lang string, v array<double>").collect():  # a row for each task and language
         sums[r.lang] = sums.get(r.lang, 0) + np.array(r.v)
@@ -128,8 +123,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, limit: int = MAX_LEARNED, dims: int = DIMS, seed: int = SEED) -> DataFrame:
+def identify(docs: DataFrame, dims: int = DIMS, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, lang_pred, score; learned from the rows not held out."""
     rows = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
-    names, prototypes = learn(rows.filter(~F.col("held_out")), limit, dims, seed)
+    names, prototypes = learn(rows.filter(~F.col("held_out")), dims, seed)
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predictor(names, prototypes, dims, seed), "doc_id long, held_out boolean, lang_pred string, score double")
