@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir, staged
+from ..operators.skew import hot_join, hot_keys, prefix_sums
+from ..sources.shared import arrow_batches, discard, shared_dir, staged
 
-__all__ = ["OWN", "SPACES", "UPPER", "let", "prefix_sums", "shared_dir", "split_words", "staged", "without"]
+__all__ = ["OWN", "SPACES", "UPPER", "arrow_batches", "discard", "hot_join", "hot_keys", "let", "prefix_sums", "shared_dir", "split_words", "staged", "without"]
 
 #: The white space that ends a word, and the ASCII letters that are lowered.
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,32 +36,3 @@ def without(text: Column, chars: str) -> Column:
     """``text`` without the given characters."""
     return reduce(lambda e, c: F.replace(e, F.lit(c), F.lit("")), chars, text)
 
-
-def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], values: dict[str, str], out: str = "before") -> DataFrame:
-    """Adds ``<out>_<name>``, the sum of each of ``values`` over earlier rows of the group, and ``<out>_rows``, their count.
-
-    A group may hold most of the rows, so no task ever holds a whole group: rows are range
-    partitioned by (group, order), each part sums on its own, and the parts' totals, one row for
-    each part and group, are summed in turn. The dealt rows are staged, so part numbers hold
-    even if a task runs twice. Rows that tie on the whole order are interchangeable.
-    """
-    part = OWN + "part"
-    keys = [F.col(g) for g in group]
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    dealt = staged(df.repartitionByRange(parts, *[k.asc_nulls_last() for k in keys], *order).withColumn(part, F.spark_partition_id()))
-    inner = Window.partitionBy(part, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    names = {**values, "rows": None}
-    amount = {n: F.lit(1).cast("long") if c is None else F.col(c).cast("long") for n, c in names.items()}
-    totals = dealt.groupBy(part, *group).agg(*[F.sum(amount[n]).alias(OWN + n) for n in names])
-    if group:
-        totals = totals.select(part, *group, *[F.coalesce(F.sum(OWN + n).over(outer), F.lit(0)).alias(OWN + "base_" + n) for n in names])
-    else:
-        one = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-        totals = totals.select(part, *[F.coalesce(F.sum(OWN + n).over(one), F.lit(0)).alias(OWN + "base_" + n) for n in names])
-    summed = dealt.select("*", *[F.coalesce(F.sum(amount[n]).over(inner), F.lit(0)).alias(OWN + "in_" + n) for n in names])
-    right = totals.select(F.col(part).alias(part + "_r"), *[F.col(g).alias(OWN + "g_" + g) for g in group], *[OWN + "base_" + n for n in names])
-    match = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(OWN + "g_" + g)) for g in group], F.col(part) == F.col(part + "_r"))
-    joined = summed.join(right, match)
-    kept = [c for c in dealt.columns if c != part]
-    return joined.select(*kept, *[(F.col(OWN + "in_" + n) + F.col(OWN + "base_" + n)).alias(f"{out}_{n}") for n in names])
