@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram's vector binds its letters' vectors,
+Every letter, whatever its script, has a random vector of +1 and -1. A trigram's vector binds its letters' vectors,
 each permuted by its place; a text's vector is the sum of its trigrams' vectors, and a language's
 prototype the sum of its documents' unit vectors. A text gets the language whose prototype has
 the largest cosine with it.
@@ -13,7 +13,9 @@ labels are not learned from; repeated rows are judged one by one.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +26,35 @@ from .common import OWN
 
 DIMS = 512
 SEED = 97
-#: Letters are told apart by their code point modulo this (a prime).
-SYMBOLS = 509
+#: Bits of a code point; a trigram is three of them side by side.
+BITS = 21
 _BLANK = 0
 
 
+def letter_vectors(codes: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """A row of +1 and -1 for each code point, drawn from its number and the seed alone, so that all machines agree."""
+    blocks = np.arange(-(-dims // 64), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        x = codes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + blocks * np.uint64(0xD1342543DE82EF95) + np.uint64(seed + 1) * np.uint64(0xBF58476D1CE4E5B9)
+        for _ in range(2):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+    bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")[:, :dims]
+    return bits.astype(np.float32) * 2 - 1
+
+
 class Space:
-    """The letter vectors and what is built from them."""
+    """The letter vectors and what is built from them; every code point has a vector of its own."""
 
     def __init__(self, dims: int = DIMS, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        letters = rng.integers(0, 2, (SYMBOLS + 1, dims)).astype(np.float32) * 2 - 1
-        # the permutation is a rotation, once for the middle letter and twice for the first
-        self.places = (np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters)
-        self.dims = dims
+        self.dims, self.seed = dims, seed
 
     def symbols(self, text: str) -> np.ndarray:
-        """Letters as 1 to SYMBOLS, blanks between, one at each end."""
+        """Letters as their code points, blanks between, one at each end."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _LETTER[np.minimum(codes, len(_LETTER) - 1)]
-        out = np.where(letter, codes % SYMBOLS + 1, _BLANK).astype(np.int64)
+        letter = _letters()[codes]
+        out = np.where(letter, codes, _BLANK).astype(np.int64)
         keep = letter | np.concatenate(([True], letter[:-1]))
         return np.concatenate(([_BLANK], out[keep], [_BLANK]))
 
@@ -56,20 +67,29 @@ class Space:
             if not s.any():
                 counted.append(None)
                 continue
-            grams = (s[:-2] * (SYMBOLS + 1) + s[1:-1]) * (SYMBOLS + 1) + s[2:]
+            grams = (s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:]
             counted.append(np.unique(grams, return_counts=True))
         known = [c[0] for c in counted if c is not None]
         if not known:
             return out
         used = np.unique(np.concatenate(known))
-        bound = self.places[0][used // (SYMBOLS + 1) ** 2] * self.places[1][used // (SYMBOLS + 1) % (SYMBOLS + 1)] * self.places[2][used % (SYMBOLS + 1)]
+        places = [used >> 2 * BITS, (used >> BITS) & ((1 << BITS) - 1), used & ((1 << BITS) - 1)]
+        codes = np.unique(np.concatenate(places))
+        drawn = letter_vectors(codes, self.dims, self.seed)
+        # the permutation is a rotation, once for the middle letter and twice for the first
+        bound = np.ones((len(used), self.dims), np.float32)
+        for place, turn in zip(places, (2, 1, 0)):
+            bound *= np.roll(drawn, turn, axis=1)[np.searchsorted(codes, place)]
         for i, c in enumerate(counted):
             if c is not None:
                 out[i] = c[1].astype(np.float32) @ bound[np.searchsorted(used, c[0])]
         return out
 
 
-_LETTER = np.array([chr(i).isalpha() for i in range(0x30000)] + [False])
+@lru_cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
