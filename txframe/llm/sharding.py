@@ -7,7 +7,8 @@ each shard's files span narrow ranges of all three and readers can skip files on
 
 Nulls and odd input: a null text counts as empty (size 8, CRC 0); null languages and sources
 rank after all others; rows that repeat get a slot each; fewer rows than shards leave the last
-shards empty; an empty table gives an empty one. Other columns are carried along untouched.
+shards empty; an empty table gives an empty one. ``sharded`` carries other columns along untouched,
+save ``shard`` and ``slot``: where a table has such columns already, the new ones take their place.
 """
 
 from __future__ import annotations
@@ -109,29 +110,37 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return cut(ranked, shards, n)
 
 
-def cut(ranked: DataFrame, shards: int, n: int) -> DataFrame:
+def cut(ranked: DataFrame, shards: int, n: int, rank: str = "rank", shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Shard and slot from a gapless rank of ``n`` rows: the first n mod shards shards hold one row more."""
     each, more = divmod(n, shards)
     longer = more * (each + 1)
-    over = F.col("rank") - longer
-    first = F.col("rank") < longer
-    shard = F.when(first, F.floor(F.col("rank") / (each + 1))).otherwise(more + F.floor(over / max(each, 1)))
-    slot = F.when(first, F.col("rank") % (each + 1)).otherwise(over % max(each, 1))
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long"))
+    over = F.col(rank) - longer
+    first = F.col(rank) < longer
+    number = F.when(first, F.floor(F.col(rank) / (each + 1))).otherwise(more + F.floor(over / max(each, 1)))
+    place = F.when(first, F.col(rank) % (each + 1)).otherwise(over % max(each, 1))
+    return ranked.withColumn(shard, number.cast("int")).withColumn(slot, place.cast("long"))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with shard and slot, dealt so that each output file covers a run of one shard."""
-    plan = assign(docs, shards).groupBy(F.col("doc_id").alias(OWN + "id"), F.col("row_hash").alias(OWN + "h")).agg(F.min("rank").alias(OWN + "rank"), F.count(F.lit(1)).alias(OWN + "k"))
-    total = staged(plan)
-    n = total.agg(F.sum(OWN + "k")).first()[0] or 0
-    joined = docs.withColumn(OWN + "row", row_hash()).join(total, F.col("doc_id").eqNullSafe(F.col(OWN + "id")) & (F.col(OWN + "row") == F.col(OWN + "h")))
+    """``docs`` with shard and slot, dealt so that each output file covers a run of one shard.
+
+    Texts are shuffled twice, to their ranks and to their places: a place's partition follows from
+    shard and slot, so nothing is sampled.
+    """
+    keyed = assign(docs, shards).groupBy(F.col("doc_id").alias(OWN + "id"), F.col("row_hash").alias(OWN + "h")).agg(F.min("rank").alias(OWN + "rank"), F.count(F.lit(1)).alias(OWN + "k"))
+    plan = staged(keyed)
+    n = plan.agg(F.sum(OWN + "k")).first()[0] or 0
+    joined = docs.withColumn(OWN + "row", row_hash()).join(plan, F.col("doc_id").eqNullSafe(F.col(OWN + "id")) & (F.col(OWN + "row") == F.col(OWN + "h")))
     # equal rows hold consecutive ranks, and each takes one; the join has brought them together
     again = Window.partitionBy("doc_id", OWN + "row").orderBy("doc_id", OWN + "row")
-    ranked = joined.withColumn("rank", F.col(OWN + "rank") + F.row_number().over(again) - 1)
-    out = cut(ranked, shards, n).select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
-    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    return out.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot")
+    ranked = joined.withColumn(OWN + "at", F.col(OWN + "rank") + F.row_number().over(again) - 1)
+    placed = cut(ranked, shards, n, OWN + "at", OWN + "shard", OWN + "slot")
+    # so many runs of slots to a shard, and a partition for each
+    runs = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // shards)
+    longest = max(1, -(-n // shards))
+    run = F.least(F.floor(F.col(OWN + "slot") * runs / longest), F.lit(runs - 1)).cast("int")
+    dealt = placed.repartitionById(shards * runs, F.col(OWN + "shard") * runs + run).sortWithinPartitions(OWN + "shard", OWN + "slot")
+    return dealt.select(*[c for c in docs.columns if c not in ("shard", "slot")], F.col(OWN + "shard").alias("shard"), F.col(OWN + "slot").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
