@@ -57,8 +57,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.reply_ordered(_table(spark, sf_dir, "conversations"))
 
 
+def chat_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chat operator where there is something to link: each message quotes an earlier one."""
+    return chat.reply_ordered(chat.quoting(_table(spark, sf_dir, "conversations"))).drop("role")
+
+
+def chat_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversations put together, in pieces of at most 64 messages."""
+    return chat.assembled(chat.reply_ordered(chat.quoting(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard, op2_warc, op3_personal_data, op4_decontaminate, op5_quality_rules, op6_language, op7_token_counts, op8_mixing, op9_sharding, op10_chat]
+    own = [op1_ngram_jaccard, op2_warc, op3_personal_data, op4_decontaminate, op5_quality_rules, op6_language, op7_token_counts, op8_mixing, op9_sharding, op10_chat, chat_quoting, chat_assembled]
     return {f.__name__: f for f in own}
 
 

@@ -29,4 +29,17 @@ SELECT DISTINCT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0)
 FROM docs d LEFT JOIN words x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.t = x.t LEFT JOIN named y ON d.doc_id IS NOT DISTINCT FROM y.doc_id AND d.t = y.t
 """
 
-ORACLES = {"op2_warc": OP2, "op4_decontaminate": OP4}
+CHAT_QUOTING = """
+WITH RECURSIVE c AS (SELECT conv_id, turn, trim('m' || turn || ' ' || trim(regexp_replace(coalesce(text, ''), '[ \t\n\f\r]+', ' ', 'g'))) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+p AS (SELECT c.conv_id, c.turn, c.text, CASE WHEN c.turn > 0 THEN q.turn END AS parent_turn FROM c LEFT JOIN c q ON q.conv_id = c.conv_id AND q.turn = (c.turn - 1) // 2 AND c.turn > 0),
+t AS (SELECT conv_id, turn, parent_turn, text, turn AS thread, CAST(0 AS BIGINT) AS depth FROM p WHERE parent_turn IS NULL
+ UNION ALL SELECT p.conv_id, p.turn, p.parent_turn, p.text, t.thread, t.depth + 1 FROM p JOIN t ON p.conv_id = t.conv_id AND p.parent_turn = t.turn)
+SELECT conv_id, turn, thread, parent_turn, depth, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS position, CAST(parent_turn IS NOT NULL AS BIGINT) AS n_quotes, text FROM t
+"""
+
+CHAT_ASSEMBLED = CHAT_QUOTING.removesuffix("\n").rsplit("\nSELECT", 1)[0] + """,
+o AS (SELECT t.conv_id, coalesce(role, 'unknown') || ': ' || t.text AS said, row_number() OVER (PARTITION BY t.conv_id ORDER BY thread, t.turn) - 1 AS position FROM t JOIN conversations USING (conv_id, turn))
+SELECT conv_id, position // 64 AS piece, position // 64 * 64 AS first_position, count(*) AS n_messages, string_agg(said, chr(10) || chr(10) ORDER BY position) AS text FROM o GROUP BY conv_id, position // 64
+"""
+
+ORACLES = {"op2_warc": OP2, "op4_decontaminate": OP4, "chat_quoting": CHAT_QUOTING, "chat_assembled": CHAT_ASSEMBLED}
