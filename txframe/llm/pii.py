@@ -1,9 +1,12 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 ``base_spans`` finds e-mail addresses, IP addresses, card and phone numbers by their patterns.
-The model, trained in numpy from labelled spans that ``examples`` makes (the patterns and the
-ways people write around them), adds what the patterns miss. Base spans always stay; an added
-one overlaps none of them.
+The model is trained in numpy from labelled spans of the documents themselves: base spans, and
+values assigned to a token, key or password, each with the words around it (``labelled``, a
+sample bounded by FIT_DOCUMENTS and FIT_PIECES). In training, spans are drawn with other digits
+and letters and are often written in ways that the patterns do not match, so the model adds what
+they miss. Base spans always stay; an added one overlaps none of them. Secrets are the model's
+alone, and are reported apart from the four kinds.
 
 The model reads every character, in windows of 256 that start every 224. Where windows overlap,
 their emissions are averaged, weighted towards each window's middle, and one Viterbi path is
@@ -11,11 +14,14 @@ taken over the whole text, so a span is decided once however many windows saw it
 decoded many at a time, end to end with a place outside between them: the whole row is cut in
 pieces that are scored side by side from guessed beginnings, and a piece whose guess the end of
 the piece before does not bear out is scored again, until all agree. Memory follows the longest
-text. An added span must also hold as its kind: 12 to 19 digits passing Luhn, 9 to 15 digits,
-four parts of at most 255, or a name, host and domain.
+text. How a span is written is up to the model; ``holds`` checks its value only: 12 to 19 digits
+passing Luhn, 9 to 15 digits, four numbers of at most 255, a name, an at and a domain, or 16
+letters and digits.
 
 Offsets are code points, ends exclusive. Nulls and odd input: a null text counts as empty and
-has no spans; repeated rows are searched one by one; a null doc_id is kept.
+has no spans; repeated rows are searched one by one; a null doc_id is kept; where the sample
+holds no labelled span (an empty table is one case) nothing is learned and only base spans are
+found; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +30,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +45,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: Labels of secrets to learn from: what is assigned to a name that says so.
+SECRET = re.compile(r"(?i)(?:token|secret|key|passwd|password)[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/=-]{16,})")
+#: What the model tells apart.
+LEARNED = (*KINDS, "secret")
+#: Documents, about, that labels are taken from; pieces collected at most; characters kept on each side of a label.
+FIT_DOCUMENTS, FIT_PIECES, BESIDE = 10_000, 4_000, 40
 
 #: Characters of a training example; of a window that is read; from one window to the next.
-EXAMPLE, WINDOW, STRIDE = 64, 256, 224
+EXAMPLE, WINDOW, STRIDE = 72, 256, 224
 OVERLAP = WINDOW - STRIDE
 #: Windows that the network reads at once; characters that are decoded at once, or one text.
 WINDOWS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 20
@@ -97,7 +108,7 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the model -----------------------------------------------------------------------------
 
-TAGS = 1 + 2 * len(KINDS)  # outside, and for each kind its first and its later characters
+TAGS = 1 + 2 * len(LEARNED)  # outside, and for each kind its first and its later characters
 _PUNCT = " .@-_+()[]:,/%\n"
 
 
@@ -174,15 +185,16 @@ class Model:
         """
         n, steps, h, width = len(s), s.shape[1], self.hidden, self.p["E"].shape[1]
         half = np.concatenate((np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)))[:, None]
-        given = [(self.p["E"] @ self.p["W" + d][:width] + self.p["b" + d]).T * half for d in "fb"]
+        given = [np.ascontiguousarray((self.p["E"] @ self.p["W" + d][:width] + self.p["b" + d]).T * half) for d in "fb"]
         wh = np.stack([self.p["W" + d][width:].T * half for d in "fb"])
         z, state, cell = np.empty((2, 4 * h, n), np.float32), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
+        own = np.empty((4 * h, n), np.float32)
         some, out, across = np.empty_like(cell), np.empty((steps, 2, h, n), np.float32), np.ascontiguousarray(s.T, dtype=np.intp)
         i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
         for t in range(steps):
             np.matmul(wh, state, out=z)
-            z[0] += given[0][:, across[t]]
-            z[1] += given[1][:, across[steps - 1 - t]]
+            z[0] += np.take(given[0], across[t], axis=1, out=own, mode="clip")
+            z[1] += np.take(given[1], across[steps - 1 - t], axis=1, out=own, mode="clip")
             np.tanh(z, out=z)
             z[:, : 3 * h] *= 0.5
             z[:, : 3 * h] += 0.5
@@ -255,7 +267,7 @@ class Model:
 def _allowed() -> np.ndarray:
     """False where a later character of a kind would not follow one of the same kind."""
     ok = np.ones((TAGS, TAGS), dtype=bool)
-    for k in range(len(KINDS)):
+    for k in range(len(LEARNED)):
         inside = 2 + 2 * k
         ok[:, inside] = False
         ok[[inside, inside - 1], inside] = True
@@ -345,62 +357,93 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
 # --- labelled spans ------------------------------------------------------------------------
 
 
-def _word(rng: np.random.Generator, low: int = 2, high: int = 10) -> str:
-    return "".join(chr(97 + int(i)) for i in rng.integers(0, 26, rng.integers(low, high)))
-
-
-def _number(rng: np.random.Generator, n: int) -> str:
-    return "".join(str(int(i)) for i in rng.integers(0, 10, n))
-
-
-def _card_number(rng: np.random.Generator, n: int = 16) -> str:
-    body = str(int(rng.integers(3, 7))) + _number(rng, n - 2)
-    return next(body + str(d) for d in range(10) if luhn(body + str(d)))
-
-
-def _made(rng: np.random.Generator) -> tuple[str, str | None]:
-    """A piece of text and its kind, or None for numbers that are not personal."""
-    pick = int(rng.integers(0, 14))
-    parts = [str(int(x)) for x in rng.integers(0, 256, 4)]
-    name, host, top = _word(rng, 3) + rng.choice(["", ".", "_"]) + _word(rng, 1, 5), _word(rng, 3), str(rng.choice(["com", "org", "net", "de", "io"]))
-    area, mid, end = _number(rng, 3), _number(rng, 3), _number(rng, 4)
-    if pick == 0:
-        return f"{name}{_number(rng, 2)}@{host}.example.{top}", "email"
-    if pick in (1, 2):
-        at, dot = (("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), (" @ ", "."), ("@", "[.]"))[int(rng.integers(0, 6))]
-        return f"{name}{at}{host}{dot}{top}", "email"
-    if pick == 3:
-        return ".".join(parts), "ip"
-    if pick in (4, 5):
-        return ("[.]", "(.)", " . ", "[dot]")[int(rng.integers(0, 4))].join(parts), "ip"
-    if pick in (6, 7):
-        n = _card_number(rng)
-        return str(rng.choice(["", " ", "-", ".", "/", "_"])).join([n[:4], n[4:8], n[8:12], n[12:]]), "card"
-    if pick == 8:
-        return f"+{int(rng.integers(1, 99))} ({area}) {mid}-{end}", "phone"
-    if pick in (9, 10):
-        return (f"({area}) {mid}-{end}", f"{area}-{mid}-{end}", f"({area}) {mid} {end}", f"{area}.{mid}.{end}", f"00{int(rng.integers(1, 99))} {area} {mid} {end}")[int(rng.integers(0, 5))], "phone"
-    if pick == 11:
-        return "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(16, 41)))), None
-    if pick == 12:
-        return (_number(rng, int(rng.integers(1, 6))), f"{_number(rng, 1)}.{_number(rng, 2)}", f"{_number(rng, 2)}%", f"19{_number(rng, 2)}-{_number(rng, 2)}-{_number(rng, 2)}", f"v{_number(rng, 1)}.{_number(rng, 1)}.{_number(rng, 1)}")[int(rng.integers(0, 5))], None
-    return f"AKIA{''.join(rng.choice(list('ABCDEFGHIJ0123456789'), 16))}", None
-
-
-def examples(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n labelled windows: symbols and tags."""
+PIECE_SCHEMA = "before string, piece string, kind string, after string"
+
+
+def labelled_pieces(text: str) -> list[tuple[str, str, str | None, str]]:
+    """Labelled spans of a text with what stands beside them, and one piece of its middle without any."""
+    found = base_spans(text)
+    found += [(*m.span(1), "secret") for m in SECRET.finditer(text) if not any(s < m.end(1) and m.start(1) < e for s, e, _ in found)]
+    out = [(text[max(0, s - BESIDE) : s], text[s:e], k, text[e : e + BESIDE]) for s, e, k in found]
+    at = max(0, len(text) // 2 - EXAMPLE)
+    if not any(s < at + 2 * EXAMPLE and at < e for s, e, _ in found):
+        out.append((text[at : at + EXAMPLE], "", None, text[at + EXAMPLE : at + 2 * EXAMPLE]))
+    return out
+
+
+def labelled(docs: DataFrame, documents: int = FIT_DOCUMENTS, pieces: int = FIT_PIECES) -> list[tuple[str, str, str | None, str]]:
+    """At most ``pieces`` pieces, labelled ones first, of about ``documents`` documents; both are chosen by hash, so reruns agree."""
+    spread = max(docs.count(), documents)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < documents).filter(F.length("text") > 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for t in batch.column("text").to_pylist() for r in labelled_pieces(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], [c.split()[0] for c in PIECE_SCHEMA.split(", ")])
+
+    made = some.mapInArrow(run, PIECE_SCHEMA)
+    names = ["before", "piece", "kind", "after"]
+    chosen = [made.filter(kind).orderBy(F.xxhash64(*names), *names).limit(n).collect() for kind, n in ((F.col("kind").isNotNull(), pieces // 2), (F.col("kind").isNull(), pieces // 2))]
+    return [tuple(r) for rows in chosen for r in rows]
+
+
+#: Ways in which an at sign, a full stop, and the gaps of a number are written in training.
+ATS = ("@", "(at)", "[at]", " at ", " (at) ", " [at] ", " @ ", "{at}")
+DOTS = (".", "[.]", "(.)", " . ", " dot ", "(dot)", "[dot]", " (dot) ")
+GAPS = ("", " ", "-", ".", "/", "_", " - ")
+
+
+def redrawn(rng: np.random.Generator, kind: str, piece: str) -> str:
+    """A span of the same kind with other digits, and for an address other names, fewer or more of them."""
+    def word(low: int, high: int) -> str:
+        return "".join(chr(97 + int(i)) for i in rng.integers(0, 26, rng.integers(low, high)))
+
+    if kind == "email" and rng.random() < 0.6:
+        name = word(2, 9) + ("", ".", "_", "-")[int(rng.integers(0, 4))] + word(1, 8) if rng.random() < 0.7 else word(3, 9) + str(int(rng.integers(0, 1000)))
+        return f"{name}@{'.'.join(word(2, 10) for _ in range(int(rng.integers(1, 3))))}.{word(2, 5)}"
+    return "".join(str(int(rng.integers(0, 10))) if c in "0123456789" and rng.random() < 0.5 else c for c in piece)
+
+
+def disguised(rng: np.random.Generator, kind: str, piece: str) -> str:
+    """A span as someone might write it around the patterns."""
+    def one(ways: tuple[str, ...]) -> str:
+        return ways[int(rng.integers(0, len(ways)))]
+
+    if kind == "email":
+        at, dot = one(ATS), one(DOTS)
+        return piece.replace("@", "\0").replace(".", dot).replace("\0", at)
+    if kind == "ip":
+        return piece.replace(".", one(DOTS))
+    d, gap = _digits(piece), one(GAPS)
+    if kind == "card":
+        return gap.join(d[i : i + 4] for i in range(0, len(d), 4))
+    if kind == "phone":
+        body, lead = d[-10:], d[:-10]
+        inner = one(("({}) {}" + gap + "{}", "{}" + gap + "{}" + gap + "{}")).format(body[:3], body[3:6], body[6:])
+        return (one(("+", "00", "")) + lead + one((" ", "-", ".")) if lead and rng.random() < 0.5 else "") + inner
+    return piece
+
+
+def examples(rng: np.random.Generator, pieces: list[tuple[str, str, str | None, str]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n windows drawn from labelled pieces, kinds alike often: symbols and tags."""
+    by_kind: dict[str | None, list] = {}
+    for r in pieces:
+        by_kind.setdefault(r[2], []).append(r)
+    kinds = [k for k in LEARNED if k in by_kind]
     xs, ys = np.zeros((n, EXAMPLE), np.int64), np.zeros((n, EXAMPLE), np.int64)
     for r in range(n):
         text, tags = "", []
         while len(text) < 2 * EXAMPLE:
-            if rng.random() < 0.12:
-                piece, kind = _made(rng)
-                first = 1 + 2 * KINDS.index(kind) if kind else 0
-                text, tags = text + piece, tags + ([first] + [first + 1] * (len(piece) - 1) if kind else [0] * len(piece))
-            else:
-                w = _word(rng)
-                text, tags = text + w, tags + [0] * len(w)
-            gap = str(rng.choice([" ", " ", " ", " ", ", ", ". ", ".\n", ": "]))
+            kind = None if None in by_kind and rng.random() < 0.3 else kinds[int(rng.integers(0, len(kinds)))]
+            before, piece, _, after = by_kind[kind][int(rng.integers(0, len(by_kind[kind])))]
+            if kind:
+                piece = redrawn(rng, kind, piece)
+                piece = disguised(rng, kind, piece) if rng.random() < 0.6 else piece
+                before = before[int(rng.integers(0, len(before) + 1)) :]
+            first = 1 + 2 * LEARNED.index(kind) if kind else 0
+            text += before + piece + after
+            tags += [0] * len(before) + ([first] + [first + 1] * (len(piece) - 1) if piece else []) + [0] * len(after)
+            gap = (" ", "\n", ". ")[int(rng.integers(0, 3))]
             text, tags = text + gap, tags + [0] * len(gap)
         # a window that cuts a span begins inside it
         at = int(rng.integers(0, EXAMPLE))
@@ -408,12 +451,13 @@ def examples(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
     return xs, ys
 
 
-@lru_cache(maxsize=2)
-def trained(seed: int = 11, steps: int = 400, batch: int = 64) -> Model:
-    """The model after ``steps`` of Adam over made examples; the same for the same arguments."""
+def trained(pieces: list[tuple[str, str, str | None, str]], seed: int = 11, steps: int = 400, batch: int = 48) -> Model | None:
+    """The model after ``steps`` of Adam over examples of ``pieces``; the same for the same arguments. None where no piece is labelled."""
+    if not any(r[2] for r in pieces):
+        return None
     rng = np.random.default_rng(seed)
     model, rate = Model.fresh(rng), 0.02
-    pool = examples(rng, 40 * batch)
+    pool = examples(rng, pieces, 50 * batch)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(x) for k, x in model.p.items()}
     for i in range(1, steps + 1):
@@ -434,25 +478,19 @@ def trained(seed: int = 11, steps: int = 400, batch: int = 64) -> Model:
 _CENTRE = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)
 
 
-_AT = re.compile(r" ?(?:@|[(\[] ?at ?[)\]]) ?")
-_DOT = re.compile(r" ?(?:\.|[(\[] ?(?:dot|\.) ?[)\]]) ?")
-
-
 def holds(kind: str, piece: str) -> bool:
-    """Whether a decoded span is what its kind says."""
-    d = _digits(piece)
+    """Whether a decoded span has a value of its kind, however it is written."""
+    d, parts = _digits(piece), re.findall(r"[A-Za-z0-9]+", piece)
     if kind == "card":
-        return 12 <= len(d) <= 19 and luhn(d) and len(piece) <= 2 * len(d) and not re.search(r"[A-Za-z]", piece)
+        return 12 <= len(d) <= 19 and luhn(d)
     if kind == "phone":
-        return 9 <= len(d) <= 15 and re.fullmatch(r"[0-9(+][\x20().0-9-]+[0-9]", piece) is not None
+        return 9 <= len(d) <= 15
     if kind == "ip":
-        parts = [x for x in _DOT.split(piece)]
-        return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)
-    sides = _AT.split(piece)
-    if len(sides) != 2 or not sides[0] or not set(sides[0]) <= LOCAL:
-        return False
-    names = _DOT.split(sides[1])
-    return len(names) >= 2 and all(re.fullmatch(r"[A-Za-z0-9-]+", x) for x in names) and re.fullmatch(r"[A-Za-z]{2,}", names[-1]) is not None
+        numbers = re.findall(r"[0-9]+", piece)
+        return len(numbers) == 4 and all(_ip_holds(x) for x in numbers)
+    if kind == "secret":
+        return len(d) > 0 and any(len(x) >= 16 for x in re.findall(r"[A-Za-z0-9_+/=-]+", piece))
+    return len(parts) >= 3 and re.fullmatch(r"[A-Za-z]{2,}", parts[-1]) is not None and ("@" in piece or "at" in [x.lower() for x in parts[1:-2]])
 
 
 def _windows(text: str) -> np.ndarray:
@@ -506,21 +544,21 @@ def model_spans(model: Model, texts: list[str]) -> list[list[Span]]:
         for t in np.flatnonzero(path % 2 == 1):
             k = int(np.searchsorted(begins, t, "right")) - 1
             i, start, end = group[k], int(t - begins[k]), int(over[np.searchsorted(over, t, "right")] - begins[k])
-            kind = KINDS[path[t] // 2]
+            kind = LEARNED[path[t] // 2]
             if holds(kind, texts[i][start:end]):
                 out[i].append((start, end, kind))
     return out
 
 
-def all_spans(model: Model, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
-    """Per text its base spans, and those with what the model adds."""
+def all_spans(model: Model | None, texts: list[str]) -> list[tuple[list[Span], list[Span], list[Span]]]:
+    """Per text its base spans, those with what the model adds, and secrets."""
     found = []
-    for base, more in zip([base_spans(t) for t in texts], model_spans(model, texts)):
+    for base, more in zip([base_spans(t) for t in texts], model_spans(model, texts) if model else [[] for _ in texts]):
         covered = np.zeros(max((e for _, e, _ in base + more), default=0), dtype=bool)
         for s, e, _ in base:
             covered[s:e] = True
-        added = [x for x in more if not covered[x[0] : x[1]].any()]
-        found.append((base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))))
+        added = [x for x in more if x[2] in KINDS and not covered[x[0] : x[1]].any()]
+        found.append((base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))), [x for x in more if x[2] not in KINDS]))
     return found
 
 
@@ -528,40 +566,44 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, secrets string, n_found long"
 
 
-def _finder(model: Model):
+def _finder(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
                 found = all_spans(model, [t or "" for t in part.column("text").to_pylist()])
-                counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
-                sha = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
-                spans, added = pa.array([written(every) for _, every in found], pa.string()), pa.array([len(every) - len(base) for base, every in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, sha, spans, added], [c.split()[0] for c in SCHEMA.split(", ")])
+                counts = [pa.array([sum(s[2] == k for s in base) for base, _, _ in found], pa.int64()) for k in KINDS]
+                sha = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _, _ in found], pa.string())
+                spans, secrets = (pa.array([written(f[k]) for f in found], pa.string()) for k in (1, 2))
+                added, every = pa.array([len(f[1]) - len(f[0]) for f in found], pa.int64()), pa.array([len(f[1]) + len(f[2]) for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, sha, spans, added, secrets, every], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return run
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, counts and digest of the base spans, all spans, and how many were added."""
-    return docs.select("doc_id", "text").mapInArrow(_finder(trained()), SCHEMA)
+def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, counts and digest of the base spans, all spans, how many were added, secrets, and how many spans of any kind.
+
+    Without a ``model`` one is trained from ``docs``.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_finder(model or trained(labelled(docs))), SCHEMA)
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with every span replaced by its kind in angle brackets."""
-    model = trained()
+def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) with every span and secret replaced by its kind in angle brackets."""
+    model = model or trained(labelled(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i in range(0, len(texts), 256):
                 some, out = texts[i : i + 256], []
-                for text, (_, spans) in zip(some, all_spans(model, [t or "" for t in some])):
+                for text, (_, spans, secrets) in zip(some, all_spans(model, [t or "" for t in some])):
                     made, last = [], 0
-                    for s, e, k in spans:
+                    for s, e, k in sorted(spans + secrets):
                         if s >= last:
                             made += [text[last:s], f"<{k}>"]
                         last = max(last, e)
@@ -571,8 +613,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", "text").schema)
 
 
-def document_spans(docs: DataFrame) -> DataFrame:
-    """One row for each span: doc_id, kind, start, end."""
-    found = find_personal_data(docs).filter(F.length("spans") > 0).select("doc_id", F.explode(F.split("spans", ",")).alias("s"))
+def document_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """One row for each span and secret: doc_id, kind, start, end."""
+    both = F.array_remove(F.concat(F.split("spans", ","), F.split("secrets", ",")), "")
+    found = find_personal_data(docs, model).select("doc_id", F.explode(both).alias("s"))
     part = F.split("s", ":")
     return found.select("doc_id", part[0].alias("kind"), part[1].cast("long").alias("start"), part[2].cast("long").alias("end"))
