@@ -18,6 +18,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,11 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import arrow_batches, hot_join, shared_dir, staged
 from .files import opened, written_whole
 
 LEAST_REVISIT = 1000
 PIECE = 1 << 18
+#: Repeated payloads whose digests are broadcast; rows and bytes of a batch for the writer.
+BROADCAST_PAYLOADS = 200_000
+BATCH = (1_000, 4 << 20)
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "archive string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -166,24 +170,42 @@ def _page(value: str | None) -> int | None:
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, n = f"{folder}/pages-{TaskContext.get().partitionId():06d}.warc.gz", 0
-        with written_whole(uri) as out:
+        with ExitStack() as stack:
+            out = None
             for batch in batches:
                 columns = [batch.column(c) for c in ("page_id", "url", "html", "refers_to")]
                 for i in range(len(batch)):
                     page_id, url, html, refers_to = (c[i].as_py() for c in columns)
+                    out = out or stack.enter_context(written_whole(uri))
                     out.write(encode_record(page_id, url, (html or "").encode(), refers_to))
                     n += 1
-        yield pa.RecordBatch.from_pydict({"archive": [uri], "records": pa.array([n], pa.int64())})
+        if n:
+            yield pa.RecordBatch.from_pydict({"archive": [uri], "records": pa.array([n], pa.int64())})
 
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html), one archive for each task; gives (archive, records)."""
-    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("d"), F.octet_length(F.coalesce("html", F.lit(""))).alias("b"))
-    firsts = rows.select("page_id", "d", "b").filter(F.col("b") >= least).groupBy("d").agg(F.max("page_id").alias("first"))
-    linked = rows.join(firsts, "d", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    return staged(linked.select("page_id", "url", "html", "refers_to").mapInArrow(_writer(folder), "archive string, records long"))
+def repeated_payloads(pages: DataFrame, least: int) -> DataFrame:
+    """Digest and largest page_id of each payload of at least ``least`` bytes that several rows hold; no payload is shuffled."""
+    sized = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("body")).filter(F.octet_length("body") >= least)
+    held = sized.select("page_id", F.unhex(F.sha1("body")).alias("digest")).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    return staged(held.filter("n > 1 AND first IS NOT NULL").select("digest", "first"))
+
+
+def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, most: int = BROADCAST_PAYLOADS) -> DataFrame:
+    """Writes ``pages`` (page_id, url, html), one archive for each task with rows; gives (archive, records).
+
+    Up to ``most`` repeated payloads are looked up by a broadcast of their digests, so that pages are
+    written where they are read. With more of them the pages are shuffled by digest, save those of
+    hot payloads, which stay where they are.
+    """
+    firsts = repeated_payloads(pages, least)
+    body = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", "html", F.when(F.octet_length(body) >= least, F.unhex(F.sha1(body))).alias("digest"))
+    linked = rows.join(F.broadcast(firsts), "digest", "left") if firsts.count() <= most else hot_join(rows, firsts, ["digest"], "left")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
+    with arrow_batches(pages.sparkSession, *BATCH):
+        return staged(linked.select("page_id", "url", "html", refers).mapInArrow(_writer(folder), "archive string, records long"))
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +231,12 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """A row for each record of the archives named in ``archives``."""
-    parts = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    return archives.select("archive").repartition(parts, "archive").mapInArrow(_reader, RECORD_SCHEMA)
+    spark = archives.sparkSession
+    named = staged(archives.select("archive"))
+    parts = min(max(1, named.count()), 4 * spark.sparkContext.defaultParallelism)
+    if named.count() > parts:  # many archives: as many tasks as there are partitions elsewhere
+        parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return named.repartition(parts).mapInArrow(_reader, RECORD_SCHEMA)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
