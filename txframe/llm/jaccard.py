@@ -23,17 +23,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, SPACES, staged
+from .common import OWN, SPACES, arrow_batches, discard, hot_join, hot_keys, staged
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
 #: Classes, and shingles, in a block of a bucket.
 BLOCK = 256
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 250_000
+#: Bytes of text that are cut in words at once (or one text), and rows and bytes of a batch for a worker.
+PIECE = 1 << 20
+BATCH = (2_000, 4 << 20)
+#: Classes whose texts are looked up by a broadcast of their rows; more are joined by a shuffle.
+BROADCAST_PICKS = 100_000
 #: Vocabulary columns that are multiplied at once.
 CHUNK = 4096
 
@@ -94,9 +100,9 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    step, first = 64, 0
-    while first < len(texts):  # a few texts at a time, so that memory follows the longest text
-        last = min(first + step, len(texts))
+    first = 0
+    while first < len(texts):  # a piece at a time, so that memory follows the longest text
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
         cut = offsets[first : last + 1] - offsets[0]
         numbers, doc = _word_numbers(data[cut[0] : cut[-1]], cut - cut[0])
         bounds = np.searchsorted(doc, np.arange(last - first + 1))
@@ -111,6 +117,22 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
         first = last
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of a piece of text, or one row, each."""
+    for batch in batches:
+        size = np.cumsum(pa.compute.binary_length(batch.column("text").fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + PIECE, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
 def _sketcher(banding: Banding, words: int):
     rng = np.random.default_rng(1729)
     n = banding.bands * banding.rows
@@ -121,34 +143,30 @@ def _sketcher(banding: Banding, words: int):
     def bands(s: np.ndarray) -> np.ndarray:
         least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
         with np.errstate(over="ignore"):
-            for i in range(0, len(s), 8192):
-                np.minimum(least, (a[:, None] * s[None, i : i + 8192] + b[:, None]).min(axis=1), out=least)
+            for i in range(0, len(s), 2048):
+                np.minimum(least, (a[:, None] * s[None, i : i + 2048] + b[:, None]).min(axis=1), out=least)
             out = salt.copy()
             for k in range(banding.rows):
                 out = _mixed(out * _BASE + least.reshape(banding.bands, banding.rows)[:, k])
         return out.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in _pieces(batches):
             keys, sizes, found = [], [], []
-            for s in shingle_sets(batch.column("text"), words):
+            for s in shingle_sets(part.column("text"), words):
                 keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 sizes.append(len(s))
                 found.append(bands(s) if len(s) else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "h", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), _lists(found)], ["doc_id", "h", "key", "n", "bands"])
 
     return run
 
 
 def _shingler(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), words)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("key"), lists], ["key", "shingles"])
+        for part in _pieces(batches):
+            sets = [s.view(np.int64) for s in shingle_sets(part.column("text"), words)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), _lists(sets)], ["key", "shingles"])
 
     return run
 
@@ -248,26 +266,31 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b): per node the least node it reaches, as (node, label).
 
     Each round takes the least label among neighbours and then jumps to that label's own label,
-    so rounds grow with the logarithm of the longest chain. Every round is a written table.
+    so rounds grow with the logarithm of the longest chain. Every round is a written table. Nodes
+    with many neighbours, and labels that many nodes have, are joined apart (see ``hot_join``).
     """
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = hot_keys(both, ["b"])
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         of = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
-        least = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(least, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        least = hot_join(both, of, ["b"], hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        step = staged(labels.join(least, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = staged(step.join(ahead, "label").select("node", "old", F.least("label", "far").alias("label")))
-        labels = after.select("node", "label")
+        after = staged(hot_join(step, ahead, ["label"]).select("node", "old", F.least("label", "far").alias("label")))
+        discard(labels, step)
+        labels = after
         if after.filter(F.col("old") != F.col("label")).isEmpty():
-            return labels
+            return labels.select("node", "label")
 
 
 def _linked(docs: DataFrame, threshold: float, words: int, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
     """Sketches of the rows of ``docs``, and per class of equal sets its numbers, its pick (a row, null doc_id last) and the label of its component."""
     text = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     banding = choose_banding(threshold, recall)
-    sketches = staged(text.mapInArrow(_sketcher(banding, words), "doc_id long, h long, key binary, n long, bands array<long>"))
+    spark = docs.sparkSession
+    with arrow_batches(spark, *BATCH):
+        sketches = staged(text.mapInArrow(_sketcher(banding, words), "doc_id long, h long, key binary, n long, bands array<long>"))
     per_key = sketches.filter(F.col("key").isNotNull()).groupBy("key")
     classes = staged(per_key.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("pick"), F.max(F.struct("n", "bands")).alias("s")).select("key", "first_id", "copies", "pick", "s.n", "s.bands"))
 
@@ -277,22 +300,28 @@ def _linked(docs: DataFrame, threshold: float, words: int, recall: float, block:
     members = staged(spread.select("key", "bucket").join(kept, "bucket"))
     own = members.groupBy("key").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))  # one for each band at most
 
-    picks = classes.join(own.select("key"), "key", "left_semi").select("key", F.col("pick.doc_id").alias("p_id"), F.col("pick.h").alias("p_h"))
-    texts = text.join(picks, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("h") == F.col("p_h"))).select("key", "text")
-    sets = texts.mapInArrow(_shingler(words), "key binary, shingles array<long>").dropDuplicates(["key"])
-    whole = staged(own.join(sets, "key").join(classes.select("key", "copies"), "key"))
+    # one row of each class that shares a bucket, and its text
+    picks = staged(classes.join(own.select("key"), "key", "left_semi").select("key", F.col("pick.doc_id").alias("p_id"), F.col("pick.h").alias("p_h")))
+    few = picks.count() <= BROADCAST_PICKS
+    texts = text.join(F.broadcast(picks) if few else picks, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("h") == F.col("p_h"))).select("key", "text")
+    with arrow_batches(spark, *BATCH):
+        sets = staged(texts.mapInArrow(_shingler(words), "key binary, shingles array<long>"))
+    whole = staged(own.join(sets.dropDuplicates(["key"]), "key").join(classes.select("key", "copies"), "key"))
+    discard(sets)
 
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key")
     pairs = dealt.join(whole, "key").select("bucket", "i", "j", "block", "key", "copies", "buckets", "shingles")
     pairs = pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = staged(pairs.mapInArrow(_comparer(threshold), "key binary, links long, texts long, root binary"))
+    with arrow_batches(spark, *BATCH):
+        found = staged(pairs.mapInArrow(_comparer(threshold), "key binary, links long, texts long, root binary"))
+    discard(whole, members, picks)
 
     linked = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     edges = found.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
     labels = components(edges)
-    named = classes.select("key", "first_id", "copies", "pick").join(linked, "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = staged(classes.select("key", "first_id", "copies", "pick").join(linked, "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
     return sketches, named
 
 
@@ -305,8 +334,8 @@ def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, words: int = WO
     """
     sketches, named = _linked(docs, threshold, words, recall, block)
     least = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    named = named.join(least, "label").select("key", "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), "class_id")
-    out = sketches.select("doc_id", "h", "key").join(named, "key", "left")
+    named = hot_join(named, least, ["label"]).select("key", "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), "class_id")
+    out = hot_join(sketches.select("doc_id", "h", "key"), named, ["key"], "left")
     return out.select(
         "doc_id", F.coalesce("class_id", F.when(F.col("key").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce("first_id", F.when(F.col("key").isNull(), F.col("doc_id"))).alias("copy_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"), F.col("h").alias("text_hash"),
