@@ -136,7 +136,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ranked = joined.withColumn(OWN + "at", F.col(OWN + "rank") + F.row_number().over(again) - 1)
     placed = cut(ranked, shards, n, OWN + "at", OWN + "shard", OWN + "slot")
     # so many runs of slots to a shard, and a partition for each
-    runs = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // shards)
+    runs = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // shards))
     longest = max(1, -(-n // shards))
     run = F.least(F.floor(F.col(OWN + "slot") * runs / longest), F.lit(runs - 1)).cast("int")
     dealt = placed.repartitionById(shards * runs, F.col(OWN + "shard") * runs + run).sortWithinPartitions(OWN + "shard", OWN + "slot")
