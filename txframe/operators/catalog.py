@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import prefix_sums
+
 
 def current_schema(catalog: DataFrame) -> DataFrame:
     """Per table its newest committed schema (tbl, version, status, ddl)."""
@@ -30,9 +32,27 @@ def index_name(name: Column) -> Column:
 
 
 def allocate(requests: DataFrame, first: int = 1, step: int = 1, lease: int = 256, group: str = "seq") -> DataFrame:
-    """Ids in request order, leased ``lease`` at a time."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy("req")) - 1
-    return requests.withColumn("rn", rn).select(group, "req", (F.lit(first) + F.col("rn") * step).cast("long").alias("id"), F.floor(F.col("rn") / lease).cast("long").alias("lease"))
+    """Ids in request order, leased ``lease`` at a time; a sequence may have any number of requests."""
+    numbered = prefix_sums(requests.select(group, "req"), [group], [F.col("req").asc()], {}, out="n")
+    return numbered.select(group, "req", (F.lit(first) + F.col("n_rows") * step).cast("long").alias("id"), F.floor(F.col("n_rows") / lease).cast("long").alias("lease"))
+
+
+def set_value(sequences: DataFrame, updates: DataFrame) -> DataFrame:
+    """Sequences (seq, next) after manual updates (seq, next): they only move forward. Dropped sequences have a null update."""
+    u = updates.select("seq", F.col("next").alias("wanted"), F.lit(True).alias("named"))
+    j = sequences.join(u, "seq", "left").filter("named IS NULL OR wanted IS NOT NULL")
+    return j.select("seq", F.greatest("next", F.coalesce("wanted", "next")).alias("next"))
+
+
+def reject_dirty(catalog: DataFrame, tables: DataFrame) -> DataFrame:
+    """The catalog without the dirty schemas of the named tables."""
+    dirty = catalog.filter("status = 'dirty'").join(tables, "tbl", "left_semi")
+    return catalog.join(dirty.select("tbl", "version"), ["tbl", "version"], "left_anti").select("tbl", "version", "status", "ddl")
+
+
+def kv_name(prefix: str, kind: Column, ident: Column) -> Column:
+    """The name a table's files go by: a prefix, t, i or u for the kind, and an identifier."""
+    return F.concat(F.lit(prefix), F.when(kind == "secondary", "i").when(kind == "unique", "u").otherwise("t"), ident)
 
 
 def reserved(desired: Column, current: Column, end: Column, inc: int) -> Column:
@@ -62,6 +82,18 @@ def histograms(samples: DataFrame, bounds: list[float]) -> DataFrame:
     return sums.select("name", F.explode(rows).alias("r")).select("name", "r.le", "r.n")
 
 
-def label_sets(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Every combination of two label groups; label groups are configuration, a few values each."""
-    return first.select(F.collect_list(first.columns[0]).alias("a")).select(F.explode("a").alias(first.columns[0]), F.lit(1).alias("one")).join(second.withColumn("one", F.lit(1)), "one").drop("one")
+#: Names that operators report their measures under.
+METRICS = ("kv_read_duration", "kv_flush_duration", "tx_duration", "tx_processing_duration", "cache_hits", "cache_misses", "checkpoint_stall", "standby_lag", "log_write_duration", "log_replay_duration")
+
+
+def durations(spans: DataFrame) -> DataFrame:
+    """Samples (name, ts, value) from spans (name, started, ended), in the units of their times; spans that have not ended give none."""
+    return spans.filter("ended IS NOT NULL").select("name", F.col("ended").alias("ts"), (F.col("ended") - F.col("started")).alias("value"))
+
+
+def label_sets(first: DataFrame, second: DataFrame, most: int = 1000) -> DataFrame:
+    """Every combination of two label groups. Label groups are configuration: more than ``most`` values in one are an error."""
+    for df in (first, second):
+        if df.limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} labels in {df.columns[0]}")
+    return first.crossJoin(F.broadcast(second))

@@ -6,9 +6,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import prefix_sums
+
 
 def fold_sum(commands: DataFrame) -> DataFrame:
     """Per key an accumulator that overwrites set and other commands add to, in order.
@@ -42,16 +44,60 @@ def ordered_apply(commands: DataFrame) -> DataFrame:
     )
 
 
-def proceeds(exists: Column, expired: Column, on_existing: Column, on_missing: Column, ttl_reset: Column) -> Column:
-    """Whether a writing command runs on an object."""
-    return (exists & on_existing) | (~exists & on_missing) | expired | ttl_reset
-
-
 def watermark(progress: DataFrame) -> DataFrame:
     """The time all subscribed groups have reached: the least of each group's greatest."""
     return progress.groupBy("seq_grp").agg(F.max("consistent_ts").alias("ts")).agg(F.min("ts").alias("watermark"))
 
 
+def capture(log: DataFrame, shards: int = 4) -> DataFrame:
+    """What a primary forwards to standbys: its changes (key, commit_ts, ...) numbered from 1 in each shard of keys, by commit time.
+
+    Numbers come from prefix sums, so no task holds a shard.
+    """
+    numbered = prefix_sums(log.withColumn("seq_grp", F.pmod(F.col("key"), F.lit(shards)).cast("long")), ["seq_grp"], [F.col("commit_ts").asc(), F.col("key").asc()], {}, out="sent")
+    return numbered.withColumn("seq_id", F.col("sent_rows") + 1).drop("sent_rows")
+
+
+def standby_apply(messages: DataFrame, subscriptions: DataFrame, current: DataFrame) -> DataFrame:
+    """What a standby makes of forwarded messages (seq_grp, epoch, key, commit_ts, payload, status).
+
+    Messages of an epoch before the subscription's (seq_grp, epoch) are late and dropped, as are those
+    not newer than the key's current version; of the rest the newest wins.
+    """
+    ok = messages.join(F.broadcast(subscriptions.select("seq_grp", F.col("epoch").alias("since"))), "seq_grp").filter("epoch >= since")  # a row for each shard
+    newest = ok.groupBy("key").agg(F.max(F.struct("commit_ts", "payload", "status")).alias("v"))
+    j = current.select("key", F.col("commit_ts").alias("c"), F.col("payload").alias("p"), F.col("status").alias("s")).join(newest, "key", "full_outer")
+    newer = F.col("v").isNotNull() & (F.col("c").isNull() | (F.col("v.commit_ts") > F.col("c")))
+    return j.select("key", F.when(newer, F.col("v.commit_ts")).otherwise(F.col("c")).alias("commit_ts"), F.when(newer, F.col("v.payload")).otherwise(F.col("p")).alias("payload"), F.when(newer, F.col("v.status")).otherwise(F.col("s")).alias("status"))
+
+
+def late(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Messages of an epoch before their group's subscription."""
+    return messages.join(F.broadcast(subscriptions.select("seq_grp", F.col("epoch").alias("since"))), "seq_grp").filter("epoch < since").drop("since")
+
+
+def progress(messages: DataFrame) -> DataFrame:
+    """Each message (seq_grp, seq_id, consistent_ts) with the greatest consistent time of its group so far, by prefix maxima."""
+    return prefix_sums(messages, ["seq_grp"], [F.col("seq_id").asc()], {}, out="so_far", greatest={"ts": "consistent_ts"}).select("seq_grp", "seq_id", F.col("so_far_ts").alias("consistent_ts"))
+
+
+def unexpired(commands: DataFrame, now_ms: int) -> DataFrame:
+    """A command buffer (key, new_version, overwrite, valid_until, ...): a command that expired before now, or overwrites, erases all earlier ones of its key; equal versions count once.
+
+    An expired command itself stays, as the point from which its object is gone.
+    """
+    resets = F.col("overwrite") | (F.col("valid_until") < now_ms)
+    last = commands.groupBy("key").agg(F.max(F.when(resets, F.col("new_version"))).alias("from_version"))
+    return commands.dropDuplicates(["key", "new_version"]).join(last, "key").filter("from_version IS NULL OR new_version >= from_version").drop("from_version")
+
+
+def resend(sent: DataFrame, acked: DataFrame, most: int) -> DataFrame:
+    """Messages (seq_grp, seq_id) not acknowledged yet; a group with more than ``most`` of them is out of sync and must subscribe anew."""
+    last = acked.groupBy("seq_grp").agg(F.max("seq_id").alias("done"))
+    open_ = sent.join(F.broadcast(last), "seq_grp", "left").filter("done IS NULL OR seq_id > done")  # a row for each shard
+    return open_.groupBy("seq_grp").agg(F.min("seq_id").alias("from_seq"), F.max("seq_id").alias("to_seq"), F.count(F.lit(1)).alias("n")).withColumn("out_of_sync", F.col("n") > most)
+
+
 def lag(sent: DataFrame, acked: DataFrame) -> DataFrame:
     s = sent.groupBy("seq_grp").agg(F.max("seq_id").alias("sent"))
     a = acked.groupBy("seq_grp").agg(F.max("seq_id").alias("acked"))
@@ -64,9 +110,9 @@ def fanout(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
 
 
 def pop_match(waiters: DataFrame, elements: DataFrame) -> DataFrame:
-    """Per key the n-th waiter gets the n-th element."""
-    rank = lambda o: F.row_number().over(Window.partitionBy("key").orderBy(o))
-    return waiters.withColumn("n", rank("waiter")).join(elements.withColumn("n", rank("element")), ["key", "n"]).select("key", "waiter", "element")
+    """Per key the n-th waiter gets the n-th element. Numbers come from prefix sums, and numbers meet evenly, however hot a key is."""
+    ranked = lambda df, o: prefix_sums(df, ["key"], [F.col(o).asc()], {}, out="n")
+    return ranked(waiters, "waiter").join(ranked(elements, "element"), ["key", "n_rows"]).select("key", "waiter", "element")
 
 
 POPS = "key long, waiter long, element long, at long, outcome string"

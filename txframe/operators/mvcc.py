@@ -45,6 +45,21 @@ def checkpoint_ts(locks: DataFrame, raw_ts: int, delay: int) -> DataFrame:
     return locks.agg(least.alias("m")).select(F.when(F.col("m") < raw_ts - delay, F.lit(raw_ts - delay)).when(F.col("m") < raw_ts, F.col("m")).otherwise(F.lit(raw_ts)).cast("long").alias("ckpt_ts"))
 
 
+def set_flushed(log: DataFrame, ckpt_ts: int) -> DataFrame:
+    """Versions with the time they were flushed at: those a checkpoint at ``ckpt_ts`` exported."""
+    return log.withColumn("flushed_ts", F.when(F.col("commit_ts") <= ckpt_ts, F.lit(ckpt_ts)))
+
+
+def max_active_ts(snapshots: DataFrame) -> DataFrame:
+    """The greatest start of the snapshot transactions (start_ts, active) that still run."""
+    return snapshots.filter("active").agg(F.max("start_ts").alias("max_active_ts"))
+
+
+def archive_before_update(entry_status: Column, commit_ts: Column, oldest_active: Column) -> Column:
+    """Whether a version goes to the archive before it is replaced: it must be known, and some snapshot must be able to see it."""
+    return (entry_status != "Unknown") & (commit_ts > 1) & (oldest_active.isNull() | (oldest_active >= commit_ts))
+
+
 def merge_archives(archive: DataFrame, more: DataFrame) -> DataFrame:
     """Archives with added versions, each (key, commit_ts) once."""
     return archive.unionByName(more).dropDuplicates(["key", "commit_ts"])

@@ -110,7 +110,35 @@ def floor_lookup(df: DataFrame, probes: DataFrame, key: str = "key", probe: str
     return seen.join(F.broadcast(before), "part").select(F.col("at").alias(probe), F.coalesce("seen", "carried").alias("floor"))
 
 
-def resume(df: DataFrame, positions: DataFrame, batch: int, key: str = "key", bucket: str = "bucket") -> DataFrame:
-    """The next ``batch`` rows of every bucket after its saved position (bucket, last_key)."""
-    after = df.join(F.broadcast(positions), bucket, "left").filter(F.col("last_key").isNull() | (F.col(key) > F.col("last_key")))
+def lower_bound(df: DataFrame, probes: DataFrame, key: str = "key", probe: str = "probe") -> DataFrame:
+    """Per probe the least key that is not below it: ``floor_lookup`` from the other side."""
+    turned = floor_lookup(df.select((-F.col(key)).alias(key)), probes.select((-F.col(probe)).alias(probe)), key, probe)
+    return turned.select((-F.col(probe)).alias(probe), (-F.col("floor")).alias("bound"))
+
+
+def gaps(df: DataFrame, spec: ScanSpec, key: str = "key") -> DataFrame:
+    """The gaps that a scan locks besides its keys: per key within the bounds, the one before it (null at the start).
+
+    One ordered pass: keys look up the greatest below them.
+    """
+    keys = df.filter(within(F.col(key), spec)).select(F.col(key))
+    before = floor_lookup(keys, keys.select((F.col(key) - 1).alias("probe")), key)
+    return before.select((F.col("probe") + 1).alias(key), F.col("floor").alias("after"))
+
+
+#: Saved positions that are broadcast; more are joined by a shuffle.
+BROADCAST_POSITIONS = 100_000
+
+
+def resume(df: DataFrame, positions: DataFrame, batch: int, key: str = "key", bucket: str = "bucket", version: int | None = None) -> DataFrame:
+    """The next ``batch`` rows of every bucket after its saved position (bucket, last_key).
+
+    Positions may carry the version of the configuration they were saved under; with a ``version`` given,
+    one saved under another is an error, as its buckets may have moved.
+    """
+    if version is not None and not positions.filter(F.col("version") != version).isEmpty():
+        raise ValueError(f"positions were not saved under version {version}")
+    at = positions.select(bucket, "last_key")
+    few = at.limit(BROADCAST_POSITIONS + 1).count() <= BROADCAST_POSITIONS
+    after = df.join(F.broadcast(at) if few else at, bucket, "left").filter(F.col("last_key").isNull() | (F.col(key) > F.col("last_key")))
     return after.withColumn("rn", F.row_number().over(Window.partitionBy(bucket).orderBy(key))).filter(F.col("rn") <= batch).drop("rn", "last_key")

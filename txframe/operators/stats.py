@@ -5,12 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ordered_fold
+
 STEPS = 128
+#: Fixed value: the multiplier of a multiplicative hash, 2**32 divided by the golden ratio.
+MIX = 2_654_435_761
 
 
 def hashed_sample(df: DataFrame, key: str = "key", capacity: int = 1024) -> DataFrame:
-    """At most ``capacity`` keys, those of least hash: a sample that reruns and merges alike."""
-    return df.select(key).distinct().orderBy(F.xxhash64(key), key).limit(capacity)
+    """At most ``capacity`` distinct numbers, those of least hash: a sample that reruns and merges alike.
+
+    Every task keeps its own least ones and only those meet. The hash is a product modulo 2**32, which
+    any engine can state.
+    """
+    return df.select(key).distinct().orderBy(mixed(F.col(key)), key).limit(capacity)
+
+
+def mixed(key: Column) -> Column:
+    return F.pmod(key.cast("long") * MIX, F.lit(1 << 32))
+
+
+def merged_samples(samples: DataFrame, key: str = "key", capacity: int = 1024) -> DataFrame:
+    """The sample of all rows from samples of parts of them: equal to one drawn from all at once."""
+    return hashed_sample(samples, key, capacity)
+
+
+def split_samples(samples: DataFrame, owners: DataFrame, key: str = "key") -> DataFrame:
+    """Sampled keys and record counts (owner, n_sampled) by the new owner of their range (start, stop, owner), after a range was split."""
+    met = samples.join(F.broadcast(owners), (F.col(key) >= F.col("start")) & (F.col("stop").isNull() | (F.col(key) < F.col("stop"))))  # ranges of one split
+    return met.groupBy("owner").agg(F.count(F.lit(1)).alias("n_sampled"), F.min(key).alias("least"), F.max(key).alias("most"))
+
+
+def fallback(records: Column, has_histogram: Column, estimate: Column) -> Column:
+    """Without a histogram a condition is taken to keep a hundredth of the records."""
+    return F.when(has_histogram, estimate).otherwise(F.floor(records / 100)).cast("long")
 
 
 def equal_depth(sample: DataFrame, key: str = "key", steps: int = STEPS) -> DataFrame:
@@ -21,25 +49,32 @@ def equal_depth(sample: DataFrame, key: str = "key", steps: int = STEPS) -> Data
     return ranked.filter((F.col("rn") - 1) % step == 0).select((F.row_number().over(w) - 1).cast("long").alias("step"), F.col(key)).filter(F.col("step") < steps)
 
 
-def selectivity(steps: DataFrame, low: int, high: int, key: str = "key") -> DataFrame:
-    """Share of keys in [low, high), by how many steps lie below each bound."""
-    below = lambda x: F.sum((F.col(key) < x).cast("long"))
+def _below(x: int, key: str) -> Column:
+    """Share of keys below ``x``: steps below it, and how far it lies into the step it falls in; half where that step is open."""
     n = F.count(F.lit(1))
-    share = (below(high) - below(low)) / (n + 1)
-    return steps.agg(F.when(F.lit(high) <= F.lit(low), F.lit(0.0)).otherwise(share).alias("selectivity"))
+    before, after = F.max(F.when(F.col(key) < x, F.col(key))), F.min(F.when(F.col(key) >= x, F.col(key)))
+    into = F.when(before.isNull() | after.isNull(), F.lit(0.5)).otherwise((F.lit(x) - before) / (after - before))
+    return (F.sum((F.col(key) < x).cast("long")) + into) / (n + 1)
+
 
+def selectivity(steps: DataFrame, low: int, high: int, key: str = "key") -> DataFrame:
+    """Share of keys in [low, high) by the steps of a histogram."""
+    if high <= low:
+        return steps.agg(F.lit(0.0).alias("selectivity"))
+    return steps.agg((_below(high, key) - _below(low, key)).alias("selectivity"))
 
-def scaled_distinct(total: Column, sample: Column, distinct: Column) -> Column:
-    """Distinct values of the whole from those of a sample."""
-    return (total - 1) * (distinct - 1) / (sample - 1) + 1
 
+def records_per_prefix(df: DataFrame, prefix: list[str], key: str = "key", capacity: int = 1024) -> DataFrame:
+    """Per prefix length: distinct prefixes in a sample of ``capacity`` rows, scaled to all rows, and records for each, rounded down.
 
-def records_per_prefix(df: DataFrame, prefix: list[str], sample_size: int | None = None) -> DataFrame:
-    """Per prefix length: distinct prefixes, and records for each, rounded down."""
+    Scaling keeps both ends: all equal stays one, all different becomes the number of rows.
+    """
+    picked = df.select(key, *prefix).orderBy(mixed(F.col(key)), key).limit(capacity)
     exprs = [F.count_distinct(*prefix[: i + 1]).alias(f"d{i + 1}") for i in range(len(prefix))]
-    counted = df.agg(F.count(F.lit(1)).alias("n"), *exprs)
+    counted = picked.agg(F.count(F.lit(1)).alias("s"), *exprs).join(F.broadcast(df.agg(F.count(F.lit(1)).alias("t"))))  # one row each
     rows = F.explode(F.array(*[F.struct(F.lit(i + 1).cast("long").alias("prefix_len"), F.col(f"d{i + 1}").alias("ndv")) for i in range(len(prefix))]))
-    return counted.select("n", rows.alias("r")).select("r.prefix_len", "r.ndv", F.floor(F.col("n") / scaled_distinct(F.col("n"), F.col("n"), F.col("r.ndv"))).cast("long").alias("rec_per_key"))
+    scaled = F.when(F.col("s") > 1, F.floor((F.col("t") - 1) * (F.col("ndv") - 1) / (F.col("s") - 1)) + 1).otherwise(F.lit(1))
+    return counted.select("s", "t", rows.alias("r")).select("t", "s", "r.prefix_len", "r.ndv").select("prefix_len", "ndv", scaled.cast("long").alias("scaled_ndv"), F.floor(F.col("t") / scaled).cast("long").alias("rec_per_key"))
 
 
 def estimate(visited: DataFrame, slices: Column, visited_slices: Column) -> DataFrame:
@@ -48,10 +83,21 @@ def estimate(visited: DataFrame, slices: Column, visited_slices: Column) -> Data
 
 
 def record_size_ema(sizes: DataFrame) -> DataFrame:
-    """Per table, sizes (tbl, seq, size) folded in order: a tenth of each new one, rounded down."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "size")))
-    step = lambda a, x: F.when(a.isNull(), x["size"]).otherwise(F.expr("0L") + F.floor((x["size"] + a * 9) / 10).cast("long"))
-    return sizes.groupBy("tbl").agg(ordered.alias("o")).select("tbl", F.aggregate("o", F.lit(None).cast("long"), step).alias("avg_size"))
+    """Per table, sizes (tbl, seq, size) folded in order: a tenth of each new one, rounded down. Only the average so far is held."""
+    def of(key: tuple):
+        average = None
+
+        def step(row: tuple | None):
+            nonlocal average
+            if row is None:
+                yield (key[0], average)
+            else:
+                average = row[2] if average is None else (row[2] + average * 9) // 10
+
+        return step
+
+    rows = sizes.select(F.col("tbl").cast("long").alias("tbl"), F.col("seq").cast("long").alias("seq"), F.col("size").cast("long").alias("size"))
+    return ordered_fold(rows, ["tbl"], ["seq"], "tbl long, avg_size long", of)
 
 
 def split_keys(sample: DataFrame, parts: int, key: str = "key") -> DataFrame:

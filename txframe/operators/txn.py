@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def merged_op(before: Column, op: Column, check_unique: bool = False) -> Column:
-    """The operation that two successive ones on a key amount to; null before the first."""
-    again = F.lit("DuplicateKey") if check_unique else F.lit("Insert")
-    return (
-        F.when(before.isNull(), op).when(before.isin("Illegal", "DuplicateKey"), before)
-        .when((before == "Insert") & (op == "Insert"), again).when((before == "Insert") & (op == "Update"), "Insert").when((before == "Insert") & (op == "Delete"), "Delete")
-        .when((before == "Update") & op.isin("Update", "Delete"), op)
-        .when((before == "Delete") & (op == "Insert"), "Update").when((before == "Delete") & (op == "Delete"), "Delete").otherwise("Illegal")
-    )
+from .ordered import ordered_fold
 
 
 def fold(ops: DataFrame, check_unique: bool = False) -> DataFrame:
     """A transaction's operations (key, seq, op, payload) as one final operation for each key.
 
-    A key's operations within one transaction are bounded by the write-set limit, so they fold in
-    one row's array.
+    Operations fold one after the other as the shuffle has sorted them; of a key only the operation
+    so far is held, whatever their number.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "op", "payload")))
-    rows = ops.groupBy("key").agg(ordered.alias("o"), F.count(F.lit(1)).alias("n_ops"))
-    final = F.aggregate("o", F.lit(None).cast("string"), lambda acc, x: merged_op(acc, x["op"], check_unique))
-    return rows.select("key", final.alias("op"), F.element_at("o", -1)["payload"].alias("payload"), "n_ops")
+    again = "DuplicateKey" if check_unique else "Insert"
+    merged = {("Insert", "Insert"): again, ("Insert", "Update"): "Insert", ("Insert", "Delete"): "Delete", ("Update", "Update"): "Update", ("Update", "Delete"): "Delete", ("Delete", "Insert"): "Update", ("Delete", "Delete"): "Delete"}
+
+    def of(key: tuple):
+        op = payload = None
+        n = 0
+
+        def step(row: tuple | None):
+            nonlocal op, payload, n
+            if row is None:
+                yield (key[0], op, payload, n)
+                return
+            op = row[2] if op is None else op if op in ("Illegal", "DuplicateKey") else merged.get((op, row[2]), "Illegal")
+            payload, n = row[3], n + 1
+
+        return step
+
+    rows = ops.select("key", "seq", "op", "payload")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ordered_fold(rows, ["key"], ["seq", "op", "payload"], f"key {kinds['key']}, op string, payload {kinds['payload']}, n_ops long", of)
 
 
-def overlay(base: DataFrame, ws: DataFrame, value: str = "price") -> DataFrame:
-    """Base rows under a write set: own values win, own deletes vanish."""
+def overlay(base: DataFrame, ws: DataFrame, value: str = "price", keep_deleted: bool = False) -> DataFrame:
+    """Base rows under a write set: own values win; own deletes vanish, or with ``keep_deleted`` are there with the status Deleted."""
     w = ws.select("key", F.col("op"), F.col(value).alias("own"))
-    return base.select("key", value).join(w, "key", "full_outer").filter("op IS NULL OR op <> 'Delete'").select("key", F.coalesce("own", value).alias(value), F.when(F.col("op").isNull(), "base").otherwise("own").alias("origin"))
+    gone = F.coalesce(F.col("op") == "Delete", F.lit(False))
+    both = base.select("key", value).join(w, "key", "full_outer")
+    kept = both if keep_deleted else both.filter(~gone)
+    out = kept.select("key", F.when(~gone, F.coalesce("own", value)).alias(value), F.when(F.col("op").isNull(), "base").otherwise("own").alias("origin"), *([F.when(gone, "Deleted").otherwise("Normal").alias("status")] if keep_deleted else []))
+    return out
 
 
 def read_own(base: DataFrame, ws: DataFrame, keys: DataFrame, value: str = "price") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import prefix_sums
+
 HOUR_US = 3_600_000_000
 
 
@@ -21,6 +23,40 @@ def replay(wal: DataFrame, ng: int, start_ts: int) -> DataFrame:
     return wal.filter((F.col("ng_id") == ng) & (F.col("commit_ts") > start_ts))
 
 
+#: What a record does, in the order in which replay takes it: schemas before ranges, ranges before data.
+CLASSES = ("schema", "split", "scale", "data")
+
+
+def append(records: DataFrame, path: str) -> None:
+    """Appends records to a log, sorted by (commit_ts, ng_id, txn) within files, whose bounds let replay skip files."""
+    records.repartition("ng_id").sortWithinPartitions("commit_ts", "ng_id", "txn").write.mode("append").parquet(path)
+
+
+def replay_order(wal: DataFrame, ng: int, start_ts: int) -> DataFrame:
+    """What replay of a group takes, numbered: by class of operation, then commit time and transaction. Each (ng_id, txn, key) counts once."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, CLASSES)), F.col("class")), F.lit(len(CLASSES) + 1))
+    once = replay(wal, ng, start_ts).dropDuplicates(["ng_id", "txn", "key"]).withColumn("place", place)
+    return prefix_sums(once, [], [F.col("place").asc(), F.col("commit_ts").asc(), F.col("txn").asc(), F.col("key").asc()], {}, out="at").withColumnRenamed("at_rows", "position").drop("place")
+
+
+def multistage_verdict(asked: DataFrame, stages: DataFrame) -> DataFrame:
+    """Per asked txn of an operation in several stages: what recovery does, by the farthest stage that was logged.
+
+    Prepared but not committed is rolled back, committed but not clean is carried on, clean is done, and
+    what was never logged is not there.
+    """
+    j = asked.join(latest_stage(stages).select("txn", "stage"), "txn", "left")
+    return j.select("txn", F.when(F.col("stage").isNull(), "Unknown").when(F.col("stage") == "Prepare", "RollBack").when(F.col("stage") == "Commit", "CarryOn").otherwise("Done").alias("verdict"))
+
+
+def tx_status(asked: DataFrame, wal: DataFrame, open_txns: DataFrame) -> DataFrame:
+    """Per asked (txn, at_ts): Committed if it is logged, Ongoing if open, else Aborted; and the commit time, put off to after ``at_ts`` while it is open."""
+    logged = wal.groupBy("txn").agg(F.max("commit_ts").alias("logged"))
+    j = asked.join(logged, "txn", "left").join(open_txns.select("txn", F.col("bound").alias("open_bound")), "txn", "left")
+    status = F.when(F.col("logged").isNotNull(), "Committed").when(F.col("open_bound").isNotNull(), "Ongoing").otherwise("Aborted")
+    return j.select("txn", status.alias("status"), F.coalesce("logged", F.greatest("open_bound", F.when(F.col("open_bound").isNotNull(), F.col("at_ts") + 1))).alias("commit_ts"))
+
+
 def replay_apply(wal: DataFrame, base: DataFrame, schema_ts: int) -> DataFrame:
     """Base rows after replay: a record counts if newer than the row and not older than the schema; the newest wins."""
     b = base.select("key", F.col("commit_ts").alias("base_ts"), F.col("payload").alias("base_payload"), F.col("status").alias("base_status"))

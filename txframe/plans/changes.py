@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import commands as cmd
 from ..operators import locks, mvcc, txn, wal
-from ..sources.fixtures import CKPT_TS, READ_TS, base_orders, commands, ctes, lock_table, version_log, write_ops, write_set
+from ..sources.fixtures import CKPT_TS, OLDEST_TS, READ_TS, base_orders, commands, ctes, lock_table, version_log, write_ops, write_set
 
 BW, V, WO, LK, C = ctes("b", "ws"), ctes("v"), ctes("v", "wo"), ctes("lk"), ctes("v", "c")
 
 
+DAY = 86_400_000_000
+
+
 def _fold_sql(unique: str) -> str:
     def case(a: str, x: str) -> str:
         return f"""CASE WHEN {a} IN ('Illegal', 'DuplicateKey') THEN {a} WHEN {a} = 'Insert' AND {x} = 'Insert' THEN '{unique}' WHEN {a} = 'Insert' AND {x} = 'Update' THEN 'Insert' WHEN {a} = 'Insert' AND {x} = 'Delete' THEN 'Delete'
@@ -93,7 +96,7 @@ def _stages(s, d):
 
 def _wal_apply(s, d):
     w = _wal(s, d)
-    return wal.replay_apply(w.filter(f"commit_ts > {CKPT_TS}"), mvcc.visible_as_of(w, READ_TS, True), READ_TS - 86_400_000_000)
+    return wal.replay_apply(w.filter(f"commit_ts > {OLDEST_TS - 10 * DAY}"), mvcc.visible_as_of(w, OLDEST_TS - 9 * DAY, True).filter("key % 3 <> 0"), OLDEST_TS - 5 * DAY)
 
 
 def _verdicts(s, d):
@@ -106,15 +109,8 @@ def _progress(s, d):
     return version_log(s, d).select((F.col("key") % 4).alias("seq_grp"), F.col("event_id").alias("seq_id"), F.col("commit_ts").alias("consistent_ts"))
 
 
-def _running(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("seq_grp").orderBy("seq_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _progress(s, d).filter("seq_id % 3 = 0").select("seq_grp", "seq_id", F.max("consistent_ts").over(w).alias("consistent_ts"))
-
-
 def _fanout(s, d):
-    m = version_log(s, d).filter("k < 5").select(F.col("object_type").alias("channel"), F.col("event_id").alias("message"))
+    m = version_log(s, d).select(F.col("object_type").alias("channel"), F.col("event_id").alias("message"))
     subs = s.range(0, 12).select(F.element_at(F.array(*map(F.lit, ["click", "view", "error", "signup"])), (F.col("id") % 4 + 1).cast("int")).alias("channel"), F.col("id").alias("subscriber"))
     return cmd.fanout(m, F.broadcast(subs))
 
@@ -134,8 +130,8 @@ APPLY_SQL = f"""{C}, o AS (SELECT key, max(new_version) AS f FROM c WHERE overwr
  k AS (SELECT c.* FROM c LEFT JOIN o USING (key) WHERE f IS NULL OR new_version >= f)"""
 
 QUERIES = {
-    "writeset_fold": (lambda s, d: txn.fold(write_ops(s, d).filter("payload % 11 = 0")), _fold_sql("Insert").format(where="payload % 11 = 0")),
-    "writeset_duplicate_key": (lambda s, d: txn.fold(write_ops(s, d).filter("op = 'Insert' AND payload % 7 = 0"), True), _fold_sql("DuplicateKey").format(where="op = 'Insert' AND payload % 7 = 0")),
+    "writeset_fold": (lambda s, d: txn.fold(write_ops(s, d)), _fold_sql("Insert").format(where="true")),
+    "writeset_duplicate_key": (lambda s, d: txn.fold(write_ops(s, d).filter("op = 'Insert'"), True), _fold_sql("DuplicateKey").format(where="op = 'Insert'")),
     "scan_overlay_writeset": (lambda s, d: txn.overlay(base_orders(s, d), write_set(s, d)), f"{BW} SELECT coalesce(b.key, ws.key) AS key, coalesce(ws.price, b.price) AS price, CASE WHEN op IS NULL THEN 'base' ELSE 'own' END AS origin FROM b FULL JOIN ws ON b.key = ws.key WHERE op IS NULL OR op <> 'Delete'"),
     "read_your_writes": (
         _own,
@@ -177,7 +173,11 @@ QUERIES = {
     "wal_group_of_txn": (lambda s, d: _wal(s, d).select("txn", wal.log_group(F.col("txn"), 3).alias("log_group")), f"{V} SELECT event_id AS txn, event_id % 3 AS log_group FROM v"),
     "wal_group_by_ng": (lambda s, d: wal.by_node_group(_wal(s, d).withColumn("txn", F.col("txn") % 100)), f"{V} SELECT event_id % 100 AS txn, key % 4 AS ng_id, count(*) AS n_records, count(DISTINCT k % 2) AS n_terms, count(DISTINCT k % 2) > 1 AS aborts FROM v GROUP BY 1, 2"),
     "wal_replay_list": (lambda s, d: wal.replay(_wal(s, d), 2, READ_TS).select("commit_ts", "txn", "key", "payload"), f"{V} SELECT commit_ts, event_id AS txn, key, payload FROM v WHERE key % 4 = 2 AND commit_ts > {READ_TS}"),
-    "wal_replay_apply": (_wal_apply, f"{V} SELECT key, commit_ts, payload, status FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1"),
+    "wal_replay_apply": (
+        _wal_apply,
+        f"""{V}, w AS (SELECT key, commit_ts, payload, status FROM v WHERE commit_ts > {OLDEST_TS - 10 * DAY} AND commit_ts >= {OLDEST_TS - 5 * DAY}), bs AS (SELECT key, commit_ts, payload, status FROM v WHERE commit_ts <= {OLDEST_TS - 9 * DAY} AND key % 3 <> 0)
+ SELECT * FROM (SELECT * FROM w UNION SELECT * FROM bs) QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1""",
+    ),
     "min_ckpt_ts": (lambda s, d: wal.min_checkpoint(_ckpts(s, d)), f"{V} SELECT min(m) AS min_ckpt_ts FROM (SELECT max(commit_ts - 600000000000 * (key % 4)) AS m FROM v WHERE object_type = 'signup' GROUP BY key % 4)"),
     "wal_truncate": (lambda s, d: wal.truncate(_wal(s, d), _ckpts(s, d)).select("txn", "ng_id", "commit_ts"), f"{V} SELECT event_id AS txn, key % 4 AS ng_id, commit_ts FROM v WHERE commit_ts > (SELECT min(m) FROM (SELECT max(commit_ts - 600000000000 * (key % 4)) AS m FROM v WHERE object_type = 'signup' GROUP BY key % 4))"),
     "stage_latest": (lambda s, d: wal.latest_stage(_stages(s, d)), f"{V} SELECT event_id % 500 AS txn, max(k % 3) AS stage_ord, (['Prepare', 'Commit', 'Clean'])[max(k % 3) + 1] AS stage, {READ_TS} - (event_id % 500) * 60000000 AS commit_ts FROM v GROUP BY event_id % 500"),
@@ -194,9 +194,9 @@ QUERIES = {
  SELECT key, coalesce(max(CASE WHEN ok THEN new_version END), 1) AS version, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS applied, CAST(coalesce(sum(CASE WHEN ok THEN payload END), 0) AS BIGINT) AS value, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS waiting FROM r GROUP BY 1""",
     ),
     "standby_watermark": (lambda s, d: cmd.watermark(_progress(s, d)), f"{V} SELECT min(t) AS watermark FROM (SELECT max(commit_ts) AS t FROM v GROUP BY key % 4)"),
-    "standby_progress": (_running, f"{V} SELECT key % 4 AS seq_grp, event_id AS seq_id, max(commit_ts) OVER (PARTITION BY key % 4 ORDER BY event_id) AS consistent_ts FROM v WHERE event_id % 3 = 0"),
+    "standby_progress": (lambda s, d: cmd.progress(_progress(s, d)), f"{V} SELECT key % 4 AS seq_grp, event_id AS seq_id, max(commit_ts) OVER (PARTITION BY key % 4 ORDER BY event_id) AS consistent_ts FROM v"),
     "standby_lag": (lambda s, d: cmd.lag(_progress(s, d), _progress(s, d).filter("seq_id % 97 = 0")), f"{V} SELECT key % 4 AS seq_grp, max(event_id) AS sent, coalesce(max(CASE WHEN event_id % 97 = 0 THEN event_id END), 0) AS acked, max(event_id) - coalesce(max(CASE WHEN event_id % 97 = 0 THEN event_id END), 0) AS lag FROM v GROUP BY 1"),
-    "pubsub_fanout": (_fanout, f"{V}, s AS (SELECT i AS subscriber, (['click', 'view', 'error', 'signup'])[i % 4 + 1] AS channel FROM (SELECT unnest(range(0, 12)) AS i)) SELECT channel, event_id AS message, subscriber FROM v JOIN s ON v.object_type = s.channel WHERE k < 5"),
+    "pubsub_fanout": (_fanout, f"{V}, s AS (SELECT i AS subscriber, (['click', 'view', 'error', 'signup'])[i % 4 + 1] AS channel FROM (SELECT unnest(range(0, 12)) AS i)) SELECT channel, event_id AS message, subscriber FROM v JOIN s ON v.object_type = s.channel"),
     "blocking_pop_expiring": (_pop_expiring, None),  # a queue; held against a plain one in tests
     "blocking_pop_match": (_pop, f"{V}, w AS (SELECT key, commit_ts AS waiter, row_number() OVER (PARTITION BY key ORDER BY commit_ts) AS n FROM v WHERE object_type = 'view'), e AS (SELECT key, commit_ts AS element, row_number() OVER (PARTITION BY key ORDER BY commit_ts) AS n FROM v WHERE object_type = 'purchase') SELECT key, waiter, element FROM w JOIN e USING (key, n)"),
 }

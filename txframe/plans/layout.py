@@ -20,7 +20,7 @@ RUNS_SQL = f"{B}, mem AS (SELECT key, price + 7 AS price FROM b WHERE key % 3 <>
 
 def _cut(s, d):
     b = base_orders(s, d).select("key", (F.col("key") % 3).alias("run"))
-    return merge.batch_cut(b.filter("key <= 9000 + 1000 * run").withColumn("drained", F.col("run") == 0)).select("run", "key")
+    return merge.batch_cut(b.withColumn("drained", F.col("run") == 0)).select("run", "key")
 
 
 def _upload(s, d):
@@ -47,10 +47,10 @@ def _stale(s, d):
 
 
 def _sample(s, d):
-    return base_orders(s, d).filter("key % 7 = 0").select("key")
+    return stats.hashed_sample(base_orders(s, d))
 
 
-HIST_SQL = f"""{B}, s AS (SELECT key, row_number() OVER (ORDER BY key) AS rn, count(*) OVER () AS n FROM b WHERE key % 7 = 0),
+HIST_SQL = f"""{B}, p AS (SELECT key FROM b ORDER BY key * 2654435761 % 4294967296, key LIMIT 1024), s AS (SELECT key, row_number() OVER (ORDER BY key) AS rn, count(*) OVER () AS n FROM p),
  h AS (SELECT row_number() OVER (ORDER BY key) - 1 AS step, key FROM s WHERE (rn - 1) % (CASE WHEN n > 128 THEN n // 128 ELSE 1 END) = 0 QUALIFY row_number() OVER (ORDER BY key) <= 128)"""
 
 
@@ -64,10 +64,10 @@ def _estimate(s, d):
 
 
 def _ema(s, d):
-    return stats.record_size_ema(version_log(s, d).filter("key % 10 = 0").select((F.col("key") % 5).alias("tbl"), F.col("commit_ts").alias("seq"), F.col("payload").alias("size")))
+    return stats.record_size_ema(version_log(s, d).select((F.col("key") % 5).alias("tbl"), F.col("commit_ts").alias("seq"), F.col("payload").alias("size")))
 
 
-EMA_SQL = f"""{V}, o AS (SELECT key % 5 AS tbl, payload AS size, row_number() OVER (PARTITION BY key % 5 ORDER BY commit_ts) AS rn, count(*) OVER (PARTITION BY key % 5) AS n FROM v WHERE key % 10 = 0),
+EMA_SQL = f"""{V}, o AS (SELECT key % 5 AS tbl, payload AS size, row_number() OVER (PARTITION BY key % 5 ORDER BY commit_ts) AS rn, count(*) OVER (PARTITION BY key % 5) AS n FROM v),
  f AS (SELECT tbl, rn, n, size AS a FROM o WHERE rn = 1 UNION ALL SELECT o.tbl, o.rn, o.n, (o.size + f.a * 9) // 10 FROM f JOIN o ON o.tbl = f.tbl AND o.rn = f.rn + 1) SELECT tbl, a AS avg_size FROM f WHERE rn = n"""
 
 RING_SQL = """WITH p AS (SELECT (g * 7919 + i * 104729 + (g + 1) * i * 31) % 1024 AS pt, min(g) AS owner FROM (SELECT unnest(range(0, {n})) AS g), (SELECT unnest(range(0, 64)) AS i) GROUP BY 1),
@@ -117,10 +117,10 @@ def _murmur(s, d):
 
 
 def _catalog(s, d):
-    return version_log(s, d).filter("k < 10").select((F.col("key") % 30).alias("tbl"), F.col("commit_ts").alias("version"), F.when(F.col("object_type").isin("error", "view"), "dirty").otherwise("committed").alias("status"), F.col("object_type").alias("ddl"))
+    return version_log(s, d).select((F.col("key") % 30).alias("tbl"), F.col("commit_ts").alias("version"), F.when(F.col("object_type").isin("error", "view"), "dirty").otherwise("committed").alias("status"), F.col("object_type").alias("ddl"))
 
 
-CAT_SQL = f"{V}, cat AS (SELECT key % 30 AS tbl, commit_ts AS version, CASE WHEN object_type IN ('error', 'view') THEN 'dirty' ELSE 'committed' END AS status, object_type AS ddl FROM v WHERE k < 10)"
+CAT_SQL = f"{V}, cat AS (SELECT key % 30 AS tbl, commit_ts AS version, CASE WHEN object_type IN ('error', 'view') THEN 'dirty' ELSE 'committed' END AS status, object_type AS ddl FROM v)"
 
 
 def _names(s, d):
@@ -143,7 +143,7 @@ def _labels(s, d):
 
 QUERIES = {
     "merge_mem_kv": (lambda s, d: merge.merge_runs(*_runs(s, d)), f"{RUNS_SQL} SELECT key, price, 'mem' AS run FROM mem UNION ALL SELECT key, price, 'kv' FROM kv WHERE key NOT IN (SELECT key FROM mem)"),
-    "merge_batch_cut": (_cut, f"{B}, r AS (SELECT key % 3 AS run, key FROM b WHERE key <= 9000 + 1000 * (key % 3)) SELECT run, key FROM r WHERE key <= (SELECT min(m) FROM (SELECT run, max(key) AS m FROM r WHERE run <> 0 GROUP BY 1))"),
+    "merge_batch_cut": (_cut, f"{B}, r AS (SELECT key % 3 AS run, key FROM b) SELECT run, key FROM r WHERE key <= (SELECT min(m) FROM (SELECT run, max(key) AS m FROM r WHERE run <> 0 GROUP BY 1))"),
     "upload_batch_newer_wins": (_upload, f"{B} SELECT key, CASE WHEN key % 8 = 0 THEN commit_ts + 5 ELSE commit_ts END AS commit_ts, CASE WHEN key % 8 = 0 THEN price * 2 ELSE price END AS price FROM b"),
     "sk_build": (_index, f"{B} SELECT priority AS sk, key, commit_ts FROM b WHERE commit_ts <= {SCAN_TS}"),
     "sk_build_multikey": (_multi, "SELECT CAST(unnest(range(1, l_linenumber + 1)) AS INTEGER) AS sk, l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey AS key, CAST(1 AS BIGINT) AS commit_ts FROM lineitem"),
@@ -152,12 +152,20 @@ QUERIES = {
     "sk_lookup_guarded": (_stale, f"{B} SELECT priority AS sk, key, price, key % 9 = 0 AS stale FROM b WHERE commit_ts <= {SCAN_TS}"),
     "multikey_flag": (lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.bool_or(F.col("l_linenumber") > 1).alias("multikey")), "SELECT l_returnflag, bool_or(l_linenumber > 1) AS multikey FROM lineitem GROUP BY 1"),
     "hist_equal_depth": (lambda s, d: stats.equal_depth(_sample(s, d)), f"{HIST_SQL} SELECT step, key FROM h"),
-    "selectivity_range": (lambda s, d: stats.selectivity(stats.equal_depth(_sample(s, d)), 3000, 20000), f"{HIST_SQL} SELECT CAST(sum(CASE WHEN key < 20000 THEN 1 ELSE 0 END) - sum(CASE WHEN key < 3000 THEN 1 ELSE 0 END) AS DOUBLE) / (count(*) + 1) AS selectivity FROM h"),
-    "records_per_key_prefix": (_prefixes, f"{B}, c AS (SELECT count(*) AS n, count(DISTINCT priority) AS d1, count(DISTINCT (priority, order_status)) AS d2, count(DISTINCT (priority, order_status, cust)) AS d3 FROM b) SELECT i AS prefix_len, d AS ndv, CAST(floor(CAST(n AS DOUBLE) / (CAST((n - 1) * (d - 1) AS DOUBLE) / (n - 1) + 1)) AS BIGINT) AS rec_per_key FROM (SELECT n, unnest([1, 2, 3]) :: BIGINT AS i, unnest([d1, d2, d3]) AS d FROM c)"),
+    "selectivity_range": (
+        lambda s, d: stats.selectivity(stats.equal_depth(_sample(s, d)), 3001, 20003),
+        f"""{HIST_SQL}, x AS (SELECT unnest([3001, 20003]) AS x), f AS (SELECT x, (sum(CASE WHEN key < x THEN 1 ELSE 0 END) + coalesce((x - max(CASE WHEN key < x THEN key END)) / CAST(min(CASE WHEN key >= x THEN key END) - max(CASE WHEN key < x THEN key END) AS DOUBLE), 0.5)) / (count(*) + 1) AS below FROM h, x GROUP BY x)
+ SELECT max(CASE WHEN x = 20003 THEN below END) - max(CASE WHEN x = 3001 THEN below END) AS selectivity FROM f""",
+    ),
+    "records_per_key_prefix": (
+        _prefixes,
+        f"""{B}, p AS (SELECT * FROM b ORDER BY key * 2654435761 % 4294967296, key LIMIT 1024), c AS (SELECT (SELECT count(*) FROM b) AS t, count(*) AS s, count(DISTINCT priority) AS d1, count(DISTINCT (priority, order_status)) AS d2, count(DISTINCT (priority, order_status, cust)) AS d3 FROM p),
+ e AS (SELECT t, s, unnest([1, 2, 3]) :: BIGINT AS prefix_len, unnest([d1, d2, d3]) AS ndv FROM c), g AS (SELECT *, CAST(floor((t - 1) * (ndv - 1) / CAST(s - 1 AS DOUBLE)) AS BIGINT) + 1 AS scaled_ndv FROM e) SELECT prefix_len, ndv, scaled_ndv, t // scaled_ndv AS rec_per_key FROM g""",
+    ),
     "analyze_estimate": (_estimate, f"{B}, a AS (SELECT count(*) AS keys, count(DISTINCT key // 50) AS n FROM b WHERE key // 50 % 10 = 0) SELECT CAST(ceil(1000 * keys / n) AS BIGINT) AS records FROM a"),
     "merge_ng_stats": (lambda s, d: base_orders(s, d).groupBy("priority", (F.col("key") % 3).alias("ng")).agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("top")).groupBy("priority").agg(F.sum("n").alias("records"), F.max("top").alias("top")), f"{B} SELECT priority, count(*) AS records, max(key) AS top FROM b GROUP BY 1"),
     "avg_record_size_ema": (_ema, EMA_SQL),
-    "subrange_split_keys": (lambda s, d: stats.split_keys(_sample(s, d), 4), f"{B}, s AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM b WHERE key % 7 = 0) SELECT CAST(i // greatest(1, n // 5) - 1 AS BIGINT) AS part, key FROM s WHERE i > 0 AND i % greatest(1, n // 5) = 0 AND i <= greatest(1, n // 5) * 4"),
+    "subrange_split_keys": (lambda s, d: stats.split_keys(_sample(s, d), 4), f"{B}, p AS (SELECT key FROM b ORDER BY key * 2654435761 % 4294967296, key LIMIT 1024), s AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM p) SELECT CAST(i // greatest(1, n // 5) - 1 AS BIGINT) AS part, key FROM s WHERE i > 0 AND i % greatest(1, n // 5) = 0 AND i <= greatest(1, n // 5) * 4"),
     "key_bucket": (lambda s, d: base_orders(s, d).groupBy(partition.key_bucket(F.col("key")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")), f"{B} SELECT (key & 16383) % 1024 AS bucket, count(*) AS n FROM b GROUP BY 1"),
     "bucket_core": (lambda s, d: s.range(0, 1024).select(F.col("id").alias("bucket"), partition.bucket_core(F.col("id"), 6).alias("core")), "SELECT unnest(range(0, 1024)) AS bucket, bucket % 6 AS core"),
     "bucket_owner": (lambda s, d: _ring(s, 3), RING_SQL.format(n=3) + " SELECT * FROM r"),

@@ -17,11 +17,11 @@ def _scan(spec, source=base_orders, records=("price", "commit_ts")):
 
 
 def _vscan(spec, records):
-    return lambda s, d: scan.scan(mvcc.visible_as_of(version_log(s, d), READ_TS, keep_deleted=True), spec, records=list(records))
+    return lambda s, d: scan.scan(mvcc.visible_as_of(version_log(s, d, READ_TS).select("key", "commit_ts", "status", "payload", "object_type", "ttl_ms"), READ_TS, keep_deleted=True), spec, records=list(records))
 
 
-def _probes(s):
-    return s.range(0, 60_000, 97).select((F.col("id") + 3).alias("probe"))
+def _probes(s, d):
+    return base_orders(s, d).select((F.col("key") + 3).alias("probe"))
 
 
 def _asked(s):
@@ -29,7 +29,7 @@ def _asked(s):
 
 
 def _latest(s, d):
-    return mvcc.visible_as_of(version_log(s, d), READ_TS, keep_deleted=True)
+    return mvcc.visible_as_of(version_log(s, d, READ_TS).select("key", "commit_ts", "status", "payload", "ttl_ms"), READ_TS, keep_deleted=True)
 
 
 def _read_ttl(s, d):
@@ -41,8 +41,8 @@ def _bucketed(s, d):
 
 
 def _resume(s, d):
-    at = s.range(0, 64).select(F.col("id").alias("bucket"), (F.col("id") + 2048).alias("last_key"))
-    return scan.resume(_bucketed(s, d).filter("bucket < 64"), at, 3)
+    at = s.range(0, 1024).select(F.col("id").alias("bucket"), (F.col("id") + 2048).alias("last_key"), F.lit(7).alias("version"))
+    return scan.resume(_bucketed(s, d), at, 3, version=7)
 
 
 def _archive(s, d):
@@ -56,7 +56,7 @@ def _miss(s, d):
 
 
 def _ckpt_ts(s, d):
-    locks = version_log(s, d).filter(f"commit_ts > {CKPT_TS} AND key % 10 = 0").select(F.col("commit_ts").alias("lock_ts"))
+    locks = version_log(s, d).filter(f"commit_ts > {CKPT_TS}").select(F.col("commit_ts").alias("lock_ts"))
     return mvcc.checkpoint_ts(locks, READ_TS, 200_000_000_000)
 
 
@@ -71,8 +71,23 @@ def _merge_archives(s, d):
     return mvcc.merge_archives(v.filter(f"commit_ts <= {READ_TS}"), v.filter(f"commit_ts >= {CKPT_TS}"))
 
 
+def _snapshots(s, d):
+    return version_log(s, d).select(F.col("commit_ts").alias("start_ts"), (F.col("k") % 3 == 0).alias("active"))
+
+
+def _archivable(s, d):
+    v = version_log(s, d)
+    status = F.when(F.col("k") % 7 == 0, "Unknown").otherwise(F.col("status"))
+    return v.select("key", "commit_ts", mvcc.archive_before_update(status, F.col("commit_ts"), F.lit(OLDEST_TS)).alias("archives"))
+
+
 QUERIES = {
-    "mvcc_visible_as_of": (lambda s, d: mvcc.visible_as_of(version_log(s, d), READ_TS).select("key", "commit_ts", "payload", "object_type"), f"{VIS} SELECT key, commit_ts, payload, object_type FROM vis WHERE status = 'Normal'"),
+    "lower_bound_lookup": (lambda s, d: scan.lower_bound(base_orders(s, d).filter("key % 500 = 0"), _probes(s, d)), f"{B} SELECT probe, f.key AS bound FROM (SELECT key + 3 AS probe FROM b) ASOF LEFT JOIN (SELECT key FROM b WHERE key % 500 = 0) f ON probe <= f.key"),
+    "scan_gaps": (lambda s, d: scan.gaps(base_orders(s, d), ScanSpec(1000, True, 9000, False)), f"{B} SELECT key, lag(key) OVER (ORDER BY key) AS after FROM b WHERE key >= 1000 AND key < 9000"),
+    "set_flushed": (lambda s, d: mvcc.set_flushed(version_log(s, d), CKPT_TS).select("key", "commit_ts", "flushed_ts"), f"{V} SELECT key, commit_ts, CASE WHEN commit_ts <= {CKPT_TS} THEN {CKPT_TS} END AS flushed_ts FROM v"),
+    "max_active_ts": (lambda s, d: mvcc.max_active_ts(_snapshots(s, d)), f"{V} SELECT max(commit_ts) AS max_active_ts FROM v WHERE k % 3 = 0"),
+    "archive_before_update": (_archivable, f"{V} SELECT key, commit_ts, k % 7 <> 0 AND commit_ts > 1 AND commit_ts <= {OLDEST_TS} AS archives FROM v"),
+    "mvcc_visible_as_of": (lambda s, d: mvcc.visible_as_of(version_log(s, d, READ_TS).select("key", "commit_ts", "status", "payload", "object_type"), READ_TS).drop("status"), f"{VIS} SELECT key, commit_ts, payload, object_type FROM vis WHERE status = 'Normal'"),
     "point_read": (lambda s, d: base_orders(s, d).filter("key = 777").select("key", "price", "commit_ts"), f"{B} SELECT key, price, commit_ts FROM b WHERE key = 777"),
     "batch_read": (lambda s, d: base_orders(s, d).join(F.broadcast(_asked(s)), "key").select("key", "price"), f"{B} SELECT key, price FROM b WHERE key IN (SELECT unnest(range(1, 400, 3)))"),
     "batch_read_missing_status": (
@@ -90,8 +105,8 @@ QUERIES = {
     "scan_ttl_filter": (_vscan(ScanSpec(now_ms=NOW_MS), ["payload", "ttl_ms"]), f"{VIS} SELECT key, payload, ttl_ms FROM vis WHERE status = 'Normal' AND (ttl_ms IS NULL OR ttl_ms >= {NOW_MS})"),
     "scan_ckpt_delta": (_vscan(ScanSpec(delta=True), ["status", "commit_ts"]), f"{VIS} SELECT key, status, commit_ts FROM vis"),
     "read_ttl_status": (_read_ttl, f"{VIS} SELECT key, CASE WHEN ttl_ms > 0 AND ttl_ms < {NOW_MS} THEN 'Deleted' ELSE status END AS read_status, CASE WHEN ttl_ms > 0 AND ttl_ms < {NOW_MS} THEN 1 ELSE commit_ts END AS version_ts FROM vis"),
-    "floor_lookup": (lambda s, d: scan.floor_lookup(base_orders(s, d).filter("key % 500 = 0"), _probes(s)), f"{B} SELECT probe, (SELECT max(key) FROM b WHERE key % 500 = 0 AND key <= probe) AS floor FROM (SELECT unnest(range(0, 60000, 97)) + 3 AS probe)"),
-    "scan_page_resume": (_resume, f"{B} SELECT key, price, key % 1024 AS bucket FROM b WHERE key % 1024 < 64 AND key > key % 1024 + 2048 QUALIFY row_number() OVER (PARTITION BY key % 1024 ORDER BY key) <= 3"),
+    "floor_lookup": (lambda s, d: scan.floor_lookup(base_orders(s, d).filter("key % 500 = 0"), _probes(s, d)), f"{B} SELECT probe, f.key AS floor FROM (SELECT key + 3 AS probe FROM b) ASOF LEFT JOIN (SELECT key FROM b WHERE key % 500 = 0) f ON probe >= f.key"),
+    "scan_page_resume": (_resume, f"{B} SELECT key, price, key % 1024 AS bucket FROM b WHERE key > key % 1024 + 2048 QUALIFY row_number() OVER (PARTITION BY key % 1024 ORDER BY key) <= 3"),
     "bucket_scan": (lambda s, d: _bucketed(s, d).filter("bucket = 17"), f"{B} SELECT key, price, key % 1024 AS bucket FROM b WHERE key % 1024 = 17"),
     "db_size": (lambda s, d: base_orders(s, d).groupBy("priority").agg(F.count(F.lit(1)).alias("n_keys")), f"{B} SELECT priority, count(*) AS n_keys FROM b GROUP BY 1"),
     "last_commit_ts": (lambda s, d: version_log(s, d).groupBy("object_type").agg(F.max("commit_ts").alias("last_ts")), f"{V} SELECT object_type, max(commit_ts) AS last_ts FROM v GROUP BY 1"),
@@ -114,7 +129,7 @@ QUERIES = {
     ),
     "ckpt_ts": (
         _ckpt_ts,
-        f"""{V}, m AS (SELECT coalesce(min(commit_ts) - 1, {READ_TS}) AS m FROM v WHERE commit_ts > {CKPT_TS} AND key % 10 = 0)
+        f"""{V}, m AS (SELECT coalesce(min(commit_ts) - 1, {READ_TS}) AS m FROM v WHERE commit_ts > {CKPT_TS})
  SELECT CASE WHEN m < {READ_TS} - 200000000000 THEN {READ_TS} - 200000000000 WHEN m < {READ_TS} THEN m ELSE {READ_TS} END AS ckpt_ts FROM m""",
     ),
     "oldest_snapshot_ts": (lambda s, d: version_log(s, d).filter("object_type = 'view'").agg(F.min("commit_ts").alias("oldest")), f"{V} SELECT min(commit_ts) AS oldest FROM v WHERE object_type = 'view'"),

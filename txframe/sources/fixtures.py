@@ -6,6 +6,8 @@ Every one is a pure function of (spark, sf_dir), so that SQL can derive the same
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970 of a time without a zone; whatever the session's zone, it is read as it is written."""
+    day, second = F.unix_date(ts.cast("date")).cast("long"), (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return day * 86_400_000_000 + (F.hour(ts) * 60 + F.minute(ts)).cast("long") * 60_000_000 + second
+
 
+def version_log(spark: SparkSession, sf_dir: str, until: int | None = None) -> DataFrame:
+    """key, commit_ts, status, payload, k, object_type, ttl_ms and event_id: one row for each version, of those not after ``until``.
 
-def version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, commit_ts, status, payload, k, object_type, ttl_ms and event_id: one row for each version."""
+    The bound is one on the stored time, which reaches the Parquet reader.
+    """
     e = table(spark, sf_dir, "events")
+    if until is not None:
+        e = e.filter(F.col("ts") <= F.lit(datetime(1970, 1, 1) + timedelta(microseconds=until)).cast("timestamp_ntz"))
     k = F.get_json_object("props", "$.k").cast("long")
     ts = micros(F.col("ts"))
     return e.select(
@@ -60,8 +69,8 @@ def write_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lock_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """holds and waits (tx, entry), over few keys."""
-    li = table(spark, sf_dir, "lineitem").filter("l_partkey <= 40 AND l_suppkey <= 30")
+    """holds and waits (tx, entry) of all line items."""
+    li = table(spark, sf_dir, "lineitem")
     pick = lambda n: li.filter(F.col("l_linenumber") == n).select(F.col("l_suppkey").alias("tx"), F.col("l_partkey").alias("entry")).distinct()
     return pick(1), pick(2)
 
@@ -85,7 +94,7 @@ SQL = {
     "ws": """ws AS (SELECT key, CASE WHEN key % 7 = 0 THEN 'Delete' ELSE 'Update' END AS op, CASE WHEN key % 7 <> 0 THEN price + 1 END AS price FROM b WHERE key % 5 = 0
  UNION ALL SELECT key + 1000000000, 'Insert', price FROM b WHERE key % 50 = 0)""",
     "wo": """wo AS (SELECT key % 40 AS key, commit_ts AS seq, CASE object_type WHEN 'error' THEN 'Delete' WHEN 'signup' THEN 'Insert' ELSE 'Update' END AS op, payload FROM v)""",
-    "lk": """li AS (SELECT * FROM lineitem WHERE l_partkey <= 40 AND l_suppkey <= 30),
+    "lk": """li AS (SELECT * FROM lineitem),
  holds AS (SELECT DISTINCT l_suppkey AS tx, l_partkey AS entry FROM li WHERE l_linenumber = 1),
  waits AS (SELECT DISTINCT l_suppkey AS tx, l_partkey AS entry FROM li WHERE l_linenumber = 2)""",
     "c": """c AS (SELECT key, commit_ts AS new_version, obj_version, payload, object_type = 'signup' AS overwrite, event_id FROM
