@@ -1,11 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import connection, differs
 from txframe import registry
 from txframe.functions.hashing import murmur3_32
-from txframe.operators import commands, mvcc, scan, txn
+from txframe.operators import commands, locks, mvcc, objects, scan, skew, txn
+from txframe.sources.store import Store
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,3 +102,97 @@ def test_murmur3(spark):
 
 def test_glob():
     assert scan.glob_regex("a?[0-9]*\\*") == r"^a.[0-9].*\*$"
+
+
+def test_times_do_not_follow_the_session_zone(spark, con):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for name in ("mvcc_visible_as_of", "last_commit_ts", "store_write_read"):
+                assert differs(registry.queries()[name](spark, SF), con, registry.oracle_sql()[name]) == ""
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_hot_joins_and_prefix_sums(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(r.choice([1, 1, 1, 2, None, 4]), i, r.randint(0, 9)) for i in range(4000)] + [(None, 4000, 1)]
+    left = spark.createDataFrame(rows, "k int, i int, v int").repartition(5)
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k int, w string")
+    for how in ("inner", "left"):
+        got = skew.hot_join(left, right, ["k"], how, hot=skew.hot_keys(left, ["k"], rows=700))
+        assert sorted((x.i, x.w) for x in got.collect()) == sorted((i, {1: "a", 2: "b"}.get(k)) for k, i, _ in rows if how == "left" or k in (1, 2))
+    got = {x.i: (x.before_v, x.before_rows, x.before_m) for x in skew.prefix_sums(left, ["k"], [F.col("i").asc()], {"v": "v"}, greatest={"m": "v"}).collect()}
+    sums, counts, most = {}, {}, {}
+    for k, i, v in rows:
+        most[k] = max(most.get(k, v), v)
+        assert got[i] == (sums.get(k, 0), counts.get(k, 0), most[k])
+        sums[k], counts[k] = sums.get(k, 0) + v, counts.get(k, 0) + 1
+
+
+def test_components_of_waits(spark):
+    """Cycles of several lengths, chains into and out of them, and bridges, against a plain search."""
+    r = random.Random(6)
+    edges = {(r.randrange(60), r.randrange(60)) for _ in range(75)} | {(i, (i - 99) % 7 + 100) for i in range(100, 107)}
+    edges = {(a, b) for a, b in edges if a != b}
+    reach = {a: {b for x, b in edges if x == a} for a, _ in edges}
+    for _ in range(8):
+        reach = {a: s | {z for b in s for z in reach.get(b, ())} for a, s in reach.items()}
+    want = {a: min(b for b in s if a in reach.get(b, ())) for a, s in reach.items() if a in s}
+    got = locks.on_cycles(spark.createDataFrame(sorted(edges), "waiter long, holder long")).collect()
+    assert {x.tx: x.component for x in got} == want and len(set(want.values())) > 1
+    assert locks.on_cycles(spark.createDataFrame([(1, 2), (2, 3)], "waiter long, holder long")).count() == 0
+
+
+def test_lock_queue(spark):
+    def run(*rows):
+        df = spark.createDataFrame([(1, i, *x, "Locking") if len(x) == 2 else (1, i, *x) for i, x in enumerate(rows)], "entry long, seq long, tx long, lock string, protocol string")
+        return {(x.seq): (x.outcome, x.granted_seq) for x in locks.queue_grants(df).collect()}
+
+    # readers share, a writer waits, a reader waits behind it, and both are served in turn
+    got = run((1, "ReadLock"), (2, "ReadLock"), (3, "WriteLock"), (4, "ReadLock"), (1, "Release"), (2, "Release"), (3, "Release"))
+    assert got == {0: ("Granted", 0), 1: ("Granted", 1), 2: ("Granted", 5), 3: ("Granted", 6)}
+    # the holder of an intent goes to the head; writers under OCC fail, readers wait
+    got = run((1, "WriteIntent"), (2, "ReadLock"), (3, "WriteLock"), (1, "WriteLock"), (4, "WriteIntent", "OCC"), (5, "ReadLock", "OCC"), (2, "Release"), (1, "Release"))
+    assert got[3] == ("Granted", 6) and got[4] == ("Failed", None) and got[2] == ("Granted", 7) and got[5] == ("Blocked", None)
+    # who holds as much already is granted at once, and a release takes its waits along
+    assert run((1, "WriteLock"), (1, "ReadLock"), (2, "WriteLock"), (2, "Release"), (1, "Release")) == {0: ("Granted", 0), 1: ("Granted", 1)}
+
+
+def test_commands_of_ones_own(spark):
+    objects.register("double", objects.Command(lambda v, a: (2 * v, 2 * v), on_missing=False))
+    try:
+        o = spark.createDataFrame([(1, 5, None), (2, 6, 50)], "key long, value long, ttl_ms long")
+        c = spark.createDataFrame([(1, 1, "double", 0, 100), (2, 1, "get", 0, 100), (2, 2, "incr", 3, 100), (3, 1, "double", 0, 100), (3, 2, "expire", 9, 100)], "key long, seq long, cmd string, arg long, now_ms long")
+        got = {(r.key, r.seq): (r.status, r.ran, r.result, r.value) for r in objects.execute(o, c).collect()}
+        assert got == {(1, 1): ("Normal", True, 10, 10), (2, 1): ("Deleted", False, None, 6), (2, 2): ("Normal", True, 3, 3), (3, 1): ("Deleted", False, None, None), (3, 2): ("Deleted", False, None, None)}
+    finally:
+        del objects.REGISTRY["double"]
+
+
+def test_store_errors_and_empty_tables(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.create_table("t", "value long")
+    assert store.count("t") == 0 and list(store.pages("t", scan.ScanSpec(), 5)) == [] and store.databases().count() == 1
+    with pytest.raises(ValueError):
+        store.create_table("t", "value long")
+    rows = spark.createDataFrame([(1, 10, "Normal", None, 1), (1, 20, "Deleted", None, 2), (2, 10, "Normal", None, 3), (2, 10, "Normal", None, 3)], "key long, commit_ts long, status string, ttl_ms long, value long")
+    store.put_all("t", rows)
+    assert store.count("t") == 1 and store.rows("t", 15).filter("status = 'Normal'").count() == 2
+    store.compact("t")
+    assert store.versions("t").count() == 1 and Store(spark, f"file://{tmp_path}/s").count("t") == 1
+    asked = spark.createDataFrame([(1,), (2,)], "key long")
+    assert {r.key: r.status for r in store.read("t", asked).collect()} == {1: "Deleted", 2: "Normal"}
+    with pytest.raises(ValueError):
+        scan.resume(rows.withColumn("bucket", F.lit(0)), spark.createDataFrame([(0, 1, 3)], "bucket int, last_key long, version int"), 2, version=4)
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from txframe.sources.shared import shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError):
+        shared_dir(far)

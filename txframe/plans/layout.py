@@ -112,10 +112,6 @@ SPLITS_SQL = f"""{SLICES_SQL}, x AS (SELECT slice_id // 40 AS range_id, slice_id
  SELECT range_id, row_number() OVER (PARTITION BY range_id ORDER BY start_key) AS part, start_key FROM f WHERE new"""
 
 
-def _murmur(s, d):
-    return s.range(0, 5000).select(F.col("id").alias("range_id"), partition.range_bucket(F.col("id")).alias("bucket"))
-
-
 def _catalog(s, d):
     return version_log(s, d).select((F.col("key") % 30).alias("tbl"), F.col("commit_ts").alias("version"), F.when(F.col("object_type").isin("error", "view"), "dirty").otherwise("committed").alias("status"), F.col("object_type").alias("ddl"))
 
@@ -172,7 +168,6 @@ QUERIES = {
     "bucket_owner_counts": (lambda s, d: _ring(s, 3).groupBy("owner").agg(F.count(F.lit(1)).alias("n")), RING_SQL.format(n=3) + " SELECT owner, count(*) AS n FROM r GROUP BY 1"),
     "migration_plan": (lambda s, d: partition.migration(_ring(s, 3), _ring(s, 4)), MIGRATE_SQL),
     "range_floor_join": (_ranges, f"{B}, r AS (SELECT key AS lo, lead(key) OVER (ORDER BY key) AS hi FROM b WHERE key % 500 = 0) SELECT lo AS floor, count(*) AS n_keys FROM b LEFT JOIN r ON b.key >= lo AND (hi IS NULL OR b.key < hi) GROUP BY 1"),
-    "range_to_bucket_murmur": (_murmur, None),
     "slice_sizes": (_slices, f"{SLICES_SQL} SELECT * FROM sl"),
     "slice_delta_sizes": (_deltas, f"{V} SELECT key // 10 AS slice_id, CAST(sum(CASE WHEN status = 'Normal' THEN k - payload ELSE -payload END) AS BIGINT) AS delta FROM v WHERE commit_ts > 1 AND commit_ts <= {READ_TS} GROUP BY 1"),
     "slice_split_merge_flags": (lambda s, d: partition.slice_flags(_slices(s, d).withColumn("bytes", F.col("bytes") * (F.col("slice_id") % 30))), f"{SLICES_SQL}, m AS (SELECT slice_id, bytes * (slice_id % 30) AS bytes FROM sl) SELECT *, CASE WHEN bytes > 16384 THEN 'split' WHEN bytes < 4096 THEN 'merge' ELSE 'keep' END AS action FROM m"),

@@ -35,7 +35,7 @@ def version_log(spark: SparkSession, sf_dir: str, until: int | None = None) -> D
     """
     e = table(spark, sf_dir, "events")
     if until is not None:
-        e = e.filter(F.col("ts") <= F.lit(datetime(1970, 1, 1) + timedelta(microseconds=until)).cast("timestamp_ntz"))
+        e = e.filter(F.col("ts") <= F.lit((datetime(1970, 1, 1) + timedelta(microseconds=until)).isoformat(" ")).cast("timestamp_ntz"))
     k = F.get_json_object("props", "$.k").cast("long")
     ts = micros(F.col("ts"))
     return e.select(
