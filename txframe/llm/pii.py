@@ -138,9 +138,14 @@ def symbols(text: str) -> np.ndarray:
     return _TABLE[np.minimum(codes, 0x17F)]
 
 
+def squash(x: np.ndarray) -> np.ndarray:
+    """Into (-1, 1) like tanh, at the cost of a division; its slope is (1 - |y|)**2 where it gives y."""
+    return x / (1 + np.abs(x))
+
+
 @dataclass
 class Model:
-    """Parameters by name: embedding E, per direction W and b, output V and c, transitions T."""
+    """Gates and cells of the network go through ``squash``. Parameters by name: embedding E, per direction W and b, output V and c, transitions T."""
 
     p: dict[str, np.ndarray]
     hidden: int
@@ -166,11 +171,11 @@ class Model:
         out, kept = np.empty((len(x), n, h), np.float32), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             z = wx[t] + state @ wh
-            gates = 1 / (1 + np.exp(-z[:, : 3 * h]))
-            i, f, o, g = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], np.tanh(z[:, 3 * h :])
+            gates = 0.5 + 0.5 * squash(z[:, : 3 * h])
+            i, f, o, g = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], squash(z[:, 3 * h :])
             before = cell
             cell = f * cell + i * g
-            squashed = np.tanh(cell)
+            squashed = squash(cell)
             if keep:
                 kept.append((t, state, before, i, f, o, g, squashed))
             state = o * squashed
@@ -180,27 +185,31 @@ class Model:
     def emissions(self, s: np.ndarray) -> np.ndarray:
         """s: batch, time of symbols; scores as batch, time, tag.
 
-        Both directions advance together, with gates as rows, and a sigmoid is a tanh of half its
-        argument, so each step is one product and one tanh over all gates.
+        Both directions advance together, with gates as rows, so each step is one product and one
+        squash over all gates.
         """
         n, steps, h, width = len(s), s.shape[1], self.hidden, self.p["E"].shape[1]
-        half = np.concatenate((np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)))[:, None]
-        given = [np.ascontiguousarray((self.p["E"] @ self.p["W" + d][:width] + self.p["b" + d]).T * half) for d in "fb"]
-        wh = np.stack([self.p["W" + d][width:].T * half for d in "fb"])
+        given = [np.ascontiguousarray((self.p["E"] @ self.p["W" + d][:width] + self.p["b" + d]).T) for d in "fb"]
+        wh = np.stack([self.p["W" + d][width:].T for d in "fb"])
         z, state, cell = np.empty((2, 4 * h, n), np.float32), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
-        own = np.empty((4 * h, n), np.float32)
+        own, over = np.empty((4 * h, n), np.float32), np.empty((2, 4 * h, n), np.float32)
         some, out, across = np.empty_like(cell), np.empty((steps, 2, h, n), np.float32), np.ascontiguousarray(s.T, dtype=np.intp)
         i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
         for t in range(steps):
             np.matmul(wh, state, out=z)
             z[0] += np.take(given[0], across[t], axis=1, out=own, mode="clip")
             z[1] += np.take(given[1], across[steps - 1 - t], axis=1, out=own, mode="clip")
-            np.tanh(z, out=z)
+            np.abs(z, out=over)
+            over += 1
+            z /= over
             z[:, : 3 * h] *= 0.5
             z[:, : 3 * h] += 0.5
             cell *= f
             cell += np.multiply(i, g, out=some)
-            np.multiply(np.tanh(cell, out=some), o, out=state)
+            np.abs(cell, out=some)
+            some += 1
+            np.divide(cell, some, out=some)
+            np.multiply(some, o, out=state)
             out[t] = state
         scores = self.p["V"][:h].T @ out[:, 0]
         scores += self.p["V"][h:].T @ out[::-1, 1]
@@ -227,8 +236,9 @@ class Model:
             dstate, dcell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
             for t, state, before, i, f, o, gg, squashed in reversed(runs[d][1]):
                 dh = dboth[t, :, k * h : (k + 1) * h] + dstate
-                dc = dh * o * (1 - squashed**2) + dcell
-                dz = np.concatenate([dc * gg * i * (1 - i), dc * before * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - gg**2)], axis=1)
+                dc = dh * o * (1 - np.abs(squashed)) ** 2 + dcell
+                slope = lambda gate: 0.5 * (1 - np.abs(2 * gate - 1)) ** 2
+                dz = np.concatenate([dc * gg * slope(i), dc * before * slope(f), dh * squashed * slope(o), dc * i * (1 - np.abs(gg)) ** 2], axis=1)
                 g["W" + d][:width] += x[t].T @ dz
                 g["W" + d][width:] += state.T @ dz
                 g["b" + d] += dz.sum(0)
@@ -451,7 +461,7 @@ def examples(rng: np.random.Generator, pieces: list[tuple[str, str, str | None,
     return xs, ys
 
 
-def trained(pieces: list[tuple[str, str, str | None, str]], seed: int = 11, steps: int = 400, batch: int = 48) -> Model | None:
+def trained(pieces: list[tuple[str, str, str | None, str]], seed: int = 11, steps: int = 600, batch: int = 48) -> Model | None:
     """The model after ``steps`` of Adam over examples of ``pieces``; the same for the same arguments. None where no piece is labelled."""
     if not any(r[2] for r in pieces):
         return None
