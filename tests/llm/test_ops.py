@@ -405,7 +405,7 @@ def test_pipeline(spark):
             _, least = brute.links([(r.doc_id, r.text) for r in before])
             assert sorted(r.doc_id for r in after) == sorted(set(least))
         elif name == "benchmark decontamination":
-            bad = {x[0] for x in brute.decontaminate([(r.doc_id, r.text) for r in before], pairs(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text")) if x[-1]}
+            bad = {x[0] for x in brute.decontaminate([(r.doc_id, r.text) for r in before], pairs(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text")) if x[2] > 0}
             assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if r.doc_id not in bad)
         elif name == "mixing sources to target weights":
             assert max(Counter(r.doc_id for r in after).values()) <= 2
