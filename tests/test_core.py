@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.oracle import connection, differs
 from txframe import registry
 from txframe.functions.hashing import murmur3_32
-from txframe.operators import commands, locks, mvcc, objects, scan, skew, txn
+from txframe.operators import backup, commands, locks, mvcc, objects, scan, skew, stats, txn
 from txframe.sources.store import Store
 
 SF = "/root/testdata/sf0.001"
@@ -196,3 +196,57 @@ def test_no_machine_local_folder_on_a_cluster(monkeypatch):
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
     with pytest.raises(ValueError):
         shared_dir(far)
+
+
+def test_random_pairing_is_uniform_and_follows_deletes(spark):
+    r = random.Random(8)
+    rows, live = [], {}
+    for t in range(120):  # the same history in many tables, each with draws of its own
+        have, seq = [], 0
+        for key in range(60):
+            rows.append((t, seq := seq + 1, key, "Insert"))
+            have.append(key)
+            if r.random() < 0.4:
+                rows.append((t, seq := seq + 1, x := have.pop(r.randrange(len(have))), "Delete"))
+        live[t] = set(have)
+    ops = spark.createDataFrame(rows, "tbl long, seq long, key long, op string").repartition(7)
+    got = {}
+    for x in stats.random_pairing(ops, 12, lanes=1).collect():
+        got.setdefault(x.tbl, []).append(x.key)
+    assert all(len(set(k)) == len(k) <= 12 and set(k) <= live[t] for t, k in got.items())
+    # early and late keys are as likely to be held
+    share = lambda keys: sum(len(set(got.get(t, [])) & (live[t] & keys)) for t in live) / sum(len(live[t] & keys) for t in live)
+    assert abs(share(set(range(30))) - share(set(range(30, 60)))) < 0.06 and 0.2 < share(set(range(60))) < 0.4
+    again = {(x.tbl, x.key) for x in stats.random_pairing(ops.repartition(3), 12, lanes=1).collect()}
+    assert again == {(t, k) for t, keys in got.items() for k in keys}
+    assert stats.random_pairing(ops.limit(0)).count() == 0
+
+
+def test_backups_and_standby(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame([(k, ts, st, None, v) for k, ts, st, v in r], "key long, commit_ts long, status string, ttl_ms long, value long")
+    store, standby = Store(spark, f"file://{tmp_path}/a"), Store(spark, f"file://{tmp_path}/b")
+    store.create_table("t", "value long")
+    store.put_all("t", rows((1, 10, "Normal", 1), (2, 10, "Normal", 2), (3, 30, "Normal", 3)))
+    kept = backup.Backups(spark, f"file://{tmp_path}/k")
+    kept.create(store, "x", 20)
+    assert [tuple(r) for r in kept.status().collect()] == [("x", "Finished", 20)] and kept.tables("x").first().n_rows == 2
+    with pytest.raises(ValueError):
+        kept.create(store, "x", 20)
+    kept._note(("broken", "Running", 5))  # one that was broken off
+    with pytest.raises(ValueError):
+        kept.restore("broken", standby)
+    kept.terminate("broken")
+    with pytest.raises(ValueError):
+        kept.terminate("never")
+    seen = lambda s: sorted((r.key, r.value) for r in s.rows("t").filter("status = 'Normal'").collect())
+    assert backup.sync_standby(store, standby, "t", 20) == "whole" and seen(standby) == [(1, 1), (2, 2)]
+    store.put_all("t", rows((1, 40, "Deleted", None)))
+    assert backup.sync_standby(store, standby, "t", 50) == "changes" and seen(standby) == [(2, 2), (3, 3)]
+    store.delete_range("t", 2, 3)
+    assert backup.sync_standby(store, standby, "t", 60) == "whole" and seen(standby) == [(3, 3)]
+    store.compact("t")
+    store.put_all("t", rows((4, 70, "Normal", 4)))
+    assert backup.sync_standby(store, standby, "t", 80) == "whole" and seen(standby) == [(3, 3), (4, 4)]
+    store.reload("t")
+    store.reload()
+    assert store.count("t") == 2

@@ -82,8 +82,25 @@ def histograms(samples: DataFrame, bounds: list[float]) -> DataFrame:
     return sums.select("name", F.explode(rows).alias("r")).select("name", "r.le", "r.n")
 
 
-#: Names that operators report their measures under.
-METRICS = ("kv_read_duration", "kv_flush_duration", "tx_duration", "tx_processing_duration", "cache_hits", "cache_misses", "checkpoint_stall", "standby_lag", "log_write_duration", "log_replay_duration")
+#: The names that dashboards know measures by.
+METRICS = (
+    "kv_flush_rows_total", "kv_load_slice_total", "kv_load_slice_duration", "kv_read_total", "kv_read_duration", "memory_limit", "cache_hit_or_miss_total", "memory_usage",
+    "memory_fragment_ratio", "busy_round_duration", "busy_round_active_tx_count", "busy_round_processed_cc_request_count", "empty_round_ratio", "tx_duration", "tx_processed_total",
+    "remote_request_duration", "remote_request_in_flight_count", "standby_lagging_msgs", "max_standby_lag", "standby_out_of_sync_count", "is_continuous_checkpoint_failures",
+    "checkpoint_stall_rounds", "leader_changes_seen_total", "is_leader",
+)
+
+
+def metric_kind(name: Column) -> Column:
+    """counter, histogram or gauge, as the end of a built-in name tells; null for any other name."""
+    return F.when(name.isin(*METRICS), F.when(name.endswith("_total"), "counter").when(name.endswith("_duration"), "histogram").otherwise("gauge"))
+
+
+def observed(samples: DataFrame) -> DataFrame:
+    """Samples (name, ts, value) of built-in names as (name, kind, n, value): a counter's sum, a gauge's value set last, a histogram's sum. Others are left out."""
+    kind = metric_kind(F.col("name"))
+    per = samples.filter(kind.isNotNull()).groupBy("name", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max(F.struct("ts", "value")).alias("last"))
+    return per.select("name", "kind", "n", F.when(F.col("kind") == "gauge", F.col("last.value")).otherwise(F.col("total")).alias("value"))
 
 
 def durations(spans: DataFrame) -> DataFrame:

@@ -63,3 +63,20 @@ def archive_before_update(entry_status: Column, commit_ts: Column, oldest_active
 def merge_archives(archive: DataFrame, more: DataFrame) -> DataFrame:
     """Archives with added versions, each (key, commit_ts) once."""
     return archive.unionByName(more).dropDuplicates(["key", "commit_ts"])
+
+
+def backfill(cached: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Cached rows (key, commit_ts, status, payload, ckpt_ts) after versions (key, commit_ts, status, payload) came from the store.
+
+    A row that was Unknown becomes the version fetched; beside a newer row that version goes to the
+    archive; else the row stays. What was fetched is checkpointed. ``target`` says base or archive. One
+    version is fetched for each key.
+    """
+    f = fetched.select("key", F.struct("commit_ts", "status", "payload").alias("f"))
+    j = cached.join(f, "key", "left")
+    unknown = (F.col("status") == "Unknown") & F.col("f").isNotNull()
+    filled = [F.when(unknown, F.col(f"f.{c}")).otherwise(F.col(c)).alias(c) for c in ("commit_ts", "status", "payload")]
+    ckpt = F.greatest("ckpt_ts", F.col("f.commit_ts")).alias("ckpt_ts")
+    base = j.select("key", *filled, ckpt, F.lit("base").alias("target"))
+    older = j.filter((F.col("status") != "Unknown") & (F.col("commit_ts") > F.col("f.commit_ts")))
+    return base.unionByName(older.select("key", "f.commit_ts", "f.status", "f.payload", ckpt, F.lit("archive").alias("target")))

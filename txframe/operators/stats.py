@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import Store
 from .ordered import ordered_fold
 
 STEPS = 128
@@ -36,6 +39,83 @@ def split_samples(samples: DataFrame, owners: DataFrame, key: str = "key") -> Da
     return met.groupBy("owner").agg(F.count(F.lit(1)).alias("n_sampled"), F.min(key).alias("least"), F.max(key).alias("most"))
 
 
+def random_pairing(ops: DataFrame, capacity: int = 1024, lanes: int = 8, seed: int = 0) -> DataFrame:
+    """Per table a uniform sample (tbl, key) of the keys that are live after ``ops`` (tbl, seq, key, op Insert or Delete), by random pairing.
+
+    An insert makes good an earlier delete: it takes the place that one left in the sample, or, as often
+    as deletes hit keys outside it, none. A table is dealt by key to ``lanes``, each with its share of the
+    capacity, so that only a lane is one task's work and only its sample is held. Inserts are of keys
+    that are not live and deletes of keys that are. Draws are seeded: reruns agree.
+    """
+    room = max(1, capacity // lanes)
+
+    def of(group: tuple):
+        draw = random.Random(f"{seed}/{group}")
+        held: list[int] = []
+        place: dict[int, int] = {}
+        live = inside = outside = 0  # live keys, and deletes not made good that hit the sample, or did not
+
+        def put(x: int, at: int) -> None:
+            if at < len(held):
+                del place[held[at]]
+                held[at] = x
+            else:
+                held.append(x)
+            place[x] = at
+
+        def step(row: tuple | None):
+            nonlocal live, inside, outside
+            if row is None:
+                yield from ((group[0], x) for x in sorted(held))
+                return
+            _, _, _, x, op = row
+            if op == "Insert":
+                live += 1
+                if inside + outside:
+                    if draw.randrange(inside + outside) < inside:
+                        inside -= 1
+                        put(x, len(held))
+                    else:
+                        outside -= 1
+                elif len(held) < room:
+                    put(x, len(held))
+                elif (at := draw.randrange(live)) < room:
+                    put(x, at)
+                return
+            live -= 1
+            at = place.pop(x, None)
+            if at is None:
+                outside += 1
+                return
+            inside += 1
+            last = held.pop()
+            if last != x:
+                held[at] = last
+                place[last] = at
+
+        return step
+
+    lane = F.pmod(F.xxhash64("key"), F.lit(lanes))
+    rows = ops.select(F.col("tbl").cast("long").alias("tbl"), lane.alias("lane"), F.col("seq").cast("long").alias("seq"), F.col("key").cast("long").alias("key"), "op")
+    return ordered_fold(rows, ["tbl", "lane"], ["seq"], "tbl long, key long", of)
+
+
+def save(store: Store, table: str, steps: DataFrame, records: int, version: int) -> None:
+    """Keeps a histogram (step, key) and the number of records of a table in the store, as of ``version``."""
+    name = f"stats.{table}"
+    if store.tables().filter(F.col("table") == name).isEmpty():
+        store.create_table(name, "at long, records long")
+    rows = steps.select(F.col("step").alias("key"), F.lit(version).cast("long").alias("commit_ts"), F.lit("Normal").alias("status"), F.lit(None).cast("long").alias("ttl_ms"), F.col("key").alias("at"), F.lit(records).cast("long").alias("records"))
+    store.put_all(name, rows)
+
+
+def fetch(store: Store, table: str) -> DataFrame:
+    """The histogram (step, key, records) of a table that was kept last; steps that only an earlier one had are not in it."""
+    rows = store.rows(f"stats.{table}")
+    newest = rows.agg(F.max("commit_ts").alias("newest"))
+    return rows.join(F.broadcast(newest), F.col("commit_ts") == F.col("newest")).select(F.col("key").alias("step"), F.col("at").alias("key"), "records")  # one row
+
+
 def fallback(records: Column, has_histogram: Column, estimate: Column) -> Column:
     """Without a histogram a condition is taken to keep a hundredth of the records."""
     return F.when(has_histogram, estimate).otherwise(F.floor(records / 100)).cast("long")

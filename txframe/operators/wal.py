@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,27 @@ def multistage_verdict(asked: DataFrame, stages: DataFrame) -> DataFrame:
     return j.select("txn", F.when(F.col("stage").isNull(), "Unknown").when(F.col("stage") == "Prepare", "RollBack").when(F.col("stage") == "Commit", "CarryOn").otherwise("Done").alias("verdict"))
 
 
+def remaining_stages(stages: DataFrame, order: Sequence[str], committed: str) -> DataFrame:
+    """Of operations that were broken off the stages (txn, position, stage) that recovery has yet to run, by the farthest that was logged.
+
+    One that reached ``committed`` runs all that follow; another is rolled back, which is the last stage alone.
+    """
+    far = latest_stage(stages).select("txn", F.array_position(F.array(*map(F.lit, order)), F.col("stage")).alias("at"))
+    first = F.when(F.col("at") >= order.index(committed) + 1, F.col("at") + 1).otherwise(F.lit(len(order)))
+    todo = far.filter((F.col("at") > 0) & (F.col("at") < len(order))).select("txn", F.explode(F.sequence(first.cast("long"), F.lit(len(order)).cast("long"))).alias("position"))
+    return todo.select("txn", "position", F.element_at(F.array(*map(F.lit, order)), F.col("position").cast("int")).alias("stage"))
+
+
+def replay_waves(wal: DataFrame) -> DataFrame:
+    """Adds ``wave``: how many changes of schema of the group come before a record, which must be in place before it is replayed.
+
+    At one time changes of schema come first. Records of one wave are independent of each other.
+    """
+    rows = wal.withColumn("ddl", (F.col("class") != "data").cast("long"))
+    order = [F.col("commit_ts").asc(), F.col("ddl").desc(), F.col("txn").asc(), F.col("key").asc()]
+    return prefix_sums(rows, ["ng_id"], order, {"ddl": "ddl"}, out="n").withColumnRenamed("n_ddl", "wave").drop("ddl", "n_rows")
+
+
 def tx_status(asked: DataFrame, wal: DataFrame, open_txns: DataFrame) -> DataFrame:
     """Per asked (txn, at_ts): Committed if it is logged, Ongoing if open, else Aborted; and the commit time, put off to after ``at_ts`` while it is open."""
     logged = wal.groupBy("txn").agg(F.max("commit_ts").alias("logged"))

@@ -169,5 +169,13 @@ class Store:
         for folder in old:
             removed(self.spark, f"{self.root}/{folder}")
 
+    def keeps_versions(self, table: str) -> bool:
+        """Whether every delete of the table left a version: none was by range, and it was never compacted."""
+        return all(e.kind in ("create", "part") for e in self._live()[table])
+
+    def reload(self, table: str | None = None) -> None:
+        """Drops what Spark has cached of a table's files, or of all, so that the next read sees the store as it is."""
+        self.spark.catalog.refreshByPath(self.root if table is None else f"{self.root}/{self._live()[table][0].folder}")
+
     def truncate(self, table: str) -> None:
         self.delete_range(table, None, None)
