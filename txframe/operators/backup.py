@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import removed
+from ..sources.shared import removed, written_rows
 from ..sources.store import Store
 
 NOTE = "seq long, backup string, status string, ckpt_ts long, table string, columns string, n_rows long, max_commit_ts long"
@@ -30,7 +30,7 @@ class Backups:
         """Appends notes (backup, status, and what more is known), which count together or not at all."""
         seq = self._notes().agg(F.max("seq")).first()[0] or 0
         rows = [(seq + 1 + i, *n, *[None] * (7 - len(n))) for i, n in enumerate(notes)]
-        self.spark.createDataFrame(rows, NOTE).coalesce(1).write.mode("append").parquet(f"{self.root}/notes")
+        written_rows(self.spark, rows, NOTE, f"{self.root}/notes")
 
     def status(self) -> DataFrame:
         """backup, status (Running, Finished, Terminated) and ckpt_ts of every backup."""

@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import staged
+from ..sources.shared import staged, written_rows
 from ..sources.store import Store
 from . import merge, scan
 
@@ -58,7 +58,7 @@ def register_engine(store: Store, engine: Engine) -> None:
 def _logged(store: Store, index: str, stage: str) -> None:
     path = f"{store.root}/ddl"
     n = ddl_log(store).count()
-    store.spark.createDataFrame([(n + 1, index, stage)], DDL).coalesce(1).write.mode("append").parquet(path)
+    written_rows(store.spark, [(n + 1, index, stage)], DDL, path)
 
 
 def ddl_log(store: Store) -> DataFrame:

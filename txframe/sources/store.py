@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mvcc, scan
-from .shared import removed
+from .shared import removed, written_rows
 
 OWN = "key long, commit_ts long, status string, ttl_ms long"
 ENTRY = "seq long, table string, kind string, folder string, start long, stop long, columns string"
@@ -53,7 +53,7 @@ class Store:
 
     def _note(self, table: str, kind: str, folder: str | None = None, start: int | None = None, stop: int | None = None, columns: str | None = None) -> None:
         seq = max((e.seq for e in self._entries()), default=0) + 1
-        self.spark.createDataFrame([(seq, table, kind, folder, start, stop, columns)], ENTRY).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        written_rows(self.spark, [(seq, table, kind, folder, start, stop, columns)], ENTRY, f"{self.root}/manifest")
 
     def _live(self) -> dict[str, list]:
         """Per existing table its manifest rows from its creation, or its last whole part, on."""
