@@ -483,6 +483,24 @@ def test_path_in_pieces_is_the_whole_path(monkeypatch):
         assert (pii.viterbi(e, trans) == plain_path(e, trans)).all()
 
 
+def test_path_is_searched_only_where_it_may_leave_outside(monkeypatch, learned):
+    """What is ruled out is outside on the path of a full search, at any scale; of given documents most is."""
+    inside = ruled = 0
+    for seed in range(200):
+        r = np.random.default_rng(seed)
+        trans = r.normal(0, (0.5, 2, 6)[seed % 3], (pii.TAGS, pii.TAGS)).astype(np.float32)
+        e = r.normal(0, 3, (300, pii.TAGS)).astype(np.float32)
+        e[:, 0] += r.uniform(0, 18) - 12 * (r.random(300) < 0.05)
+        path, doubt = plain_path(e, trans), pii.doubtful(pii.gains(e, trans), trans)
+        assert not path[~doubt].any()
+        inside, ruled = inside + (path > 0).sum(), ruled + (~doubt).sum()
+    assert inside > 1000 and ruled > 1000
+    model, searched, whole = learned[0], [], pii.viterbi
+    monkeypatch.setattr(pii, "viterbi", lambda e, trans: searched.append(len(e)) or whole(e, trans))
+    texts = [t for _, t in corpus("sf0.01")[:100]]
+    assert any(pii.model_spans(model, texts)) and 0 < sum(searched) < sum(map(len, texts)) / 4
+
+
 def test_addresses_match_the_plain_pattern():
     plain, rng = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(8)
     for _ in range(3000):

@@ -10,13 +10,14 @@ alone, and are reported apart from the four kinds.
 
 The model reads every character, in windows of 256 that start every 224. Where windows overlap,
 their emissions are averaged, weighted towards each window's middle, and one Viterbi path is
-taken over the whole text, so a span is decided once however many windows saw it. Texts are
-decoded many at a time, end to end with a place outside between them: the whole row is cut in
-pieces that are scored side by side from guessed beginnings, and a piece whose guess the end of
-the piece before does not bear out is scored again, until all agree. Memory follows the longest
-text. How a span is written is up to the model; ``holds`` checks its value only: 12 to 19 digits
-passing Luhn, 9 to 15 digits, four numbers of at most 255, a name, an at and a domain, or 16
-letters and digits.
+taken over the whole text, so a span is decided once however many windows saw it. The path is
+outside for sure wherever no run of characters can gain what leaving and coming back cost
+(``doubtful``, a bound, so nothing is lost); runs in doubt are decoded many at a time, end to end
+with a place outside between them: the whole row is cut in pieces that are scored side by side
+from guessed beginnings, and a piece whose guess the end of the piece before does not bear out
+is scored again, until all agree. Memory follows the longest text. How a span is written is up
+to the model; ``holds`` checks its value only: 12 to 19 digits passing Luhn, 9 to 15 digits,
+four numbers of at most 255, a name, an at and a domain, or 16 letters and digits.
 
 Offsets are code points, ends exclusive. Nulls and odd input: a null text counts as empty and
 has no spans; repeated rows are searched one by one; a null doc_id is kept; where the sample
@@ -113,7 +114,7 @@ _PUNCT = " .@-_+()[]:,/%\n"
 
 
 def _symbol_table() -> np.ndarray:
-    table = np.full(0x180, 1, np.int64)  # 1: anything else
+    table = np.full(0x180, 1, np.int8)  # 1: anything else
     for i in range(0x180):
         c = chr(i)
         if c.isdigit() and i < 128:
@@ -185,35 +186,42 @@ class Model:
     def emissions(self, s: np.ndarray) -> np.ndarray:
         """s: batch, time of symbols; scores as batch, time, tag.
 
-        Both directions advance together, with gates as rows, so each step is one product and one
-        squash over all gates.
+        Both directions advance together, with gates as rows, and one product a step gives all gates
+        and what the states before it score. Gates (but the one that forgets), cells and states are
+        held doubled, their halves in the weights: that is exact, and spares halving the gates.
         """
         n, steps, h, width = len(s), s.shape[1], self.hidden, self.p["E"].shape[1]
-        given = [np.ascontiguousarray((self.p["E"] @ self.p["W" + d][:width] + self.p["b" + d]).T) for d in "fb"]
-        wh = np.stack([self.p["W" + d][width:].T for d in "fb"])
-        z, state, cell = np.empty((2, 4 * h, n), np.float32), np.zeros((2, h, n), np.float32), np.zeros((2, h, n), np.float32)
-        own, over = np.empty((4 * h, n), np.float32), np.empty((2, 4 * h, n), np.float32)
-        some, out, across = np.empty_like(cell), np.empty((steps, 2, h, n), np.float32), np.ascontiguousarray(s.T, dtype=np.intp)
-        i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
-        for t in range(steps):
-            np.matmul(wh, state, out=z)
-            z[0] += np.take(given[0], across[t], axis=1, out=own, mode="clip")
-            z[1] += np.take(given[1], across[steps - 1 - t], axis=1, out=own, mode="clip")
+        half, taken = np.float32(0.5), np.zeros((2, 4 * h + TAGS, h + width + 1), np.float32)
+        for k, d in enumerate("fb"):
+            taken[k, : 4 * h, :h], taken[k, : 4 * h, h:-1], taken[k, : 4 * h, -1] = half * self.p["W" + d][width:].T, self.p["W" + d][:width].T, self.p["b" + d]
+            taken[k, 4 * h :, :h] = half * self.p["V"][k * h : (k + 1) * h].T
+        taken[0, 4 * h :, -1] = self.p["c"]
+        letters, across = np.ascontiguousarray(self.p["E"].T), np.ascontiguousarray(s.T, dtype=np.intp)
+        given, both = np.zeros((2, h + width + 1, n), np.float32), np.empty((2, 4 * h + TAGS, n), np.float32)
+        given[:, -1] = 1
+        state, z, scored = given[:, :h], both[:, : 4 * h], both[:, 4 * h :]
+        cell, some, over = np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32), np.empty((2, 4 * h, n), np.float32)
+        gates, (i, f, o, g) = z[:, : 3 * h], (z[:, k * h : (k + 1) * h] for k in range(4))
+        scores = np.zeros((steps, TAGS, n), np.float32)
+        for t in range(steps + 1):
+            if t < steps:
+                np.take(letters, across[t], axis=1, out=given[0, h:-1], mode="clip")
+                np.take(letters, across[steps - 1 - t], axis=1, out=given[1, h:-1], mode="clip")
+            np.matmul(taken, given, out=both)
+            if t:
+                scores[t - 1] += scored[0]
+                scores[steps - t] += scored[1]
             np.abs(z, out=over)
             over += 1
             z /= over
-            z[:, : 3 * h] *= 0.5
-            z[:, : 3 * h] += 0.5
+            gates += 1
+            f *= half
             cell *= f
             cell += np.multiply(i, g, out=some)
             np.abs(cell, out=some)
-            some += 1
+            some += 2
             np.divide(cell, some, out=some)
             np.multiply(some, o, out=state)
-            out[t] = state
-        scores = self.p["V"][:h].T @ out[:, 0]
-        scores += self.p["V"][h:].T @ out[::-1, 1]
-        scores += self.p["c"][:, None]
         return scores.transpose(2, 0, 1)
 
     def gradient(self, s: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -285,6 +293,8 @@ def _allowed() -> np.ndarray:
 
 
 _BARRED = -1e4
+#: What rounding may do to the sums that show a character to be outside.
+DOUBT = 0.1
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -364,6 +374,29 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return path.T.ravel()[:steps].astype(np.int64)
 
 
+def gains(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """At most what a character inside a span adds to a path, against one outside. e: tags along the second axis."""
+    inside = np.where(_allowed(), trans, _BARRED)[1:, 1:].max(axis=0) - trans[0, 0]
+    top = e[:, 1] + inside[0]
+    for k in range(2, TAGS):
+        np.maximum(top, e[:, k] + inside[k - 1], out=top)
+    return top - e[:, 0]
+
+
+def doubtful(gain: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """False where the best path is outside for sure: no run of characters there gains what its two ends may cost.
+
+    A run of the path between two outside characters scores, against staying outside, its ``gains``
+    and at most ``ends``; the best path has no run that loses. The best sum of a run over a character
+    is the highest of the prefix sums from there on, less the lowest until there.
+    """
+    step = np.where(_allowed(), trans, _BARRED).astype(np.float64)
+    ends = max(0.0, (step[0, 1:] - step[1:, 1:].max(axis=0))[::2].max()) + step[1:, 0].max() - step[0, 0]
+    sums = np.concatenate(([0.0], np.cumsum(gain, dtype=np.float64)))
+    highest = np.maximum.accumulate(sums[:0:-1])[::-1]
+    return highest - np.minimum.accumulate(sums[:-1]) + ends >= -DOUBT
+
+
 # --- labelled spans ------------------------------------------------------------------------
 
 
@@ -506,20 +539,47 @@ def holds(kind: str, piece: str) -> bool:
 def _windows(text: str) -> np.ndarray:
     """The symbols of each window of a text that is not empty."""
     count = 1 + max(0, -(-(len(text) - WINDOW) // STRIDE))
-    padded = np.full((count - 1) * STRIDE + WINDOW, BEYOND, np.int64)
+    padded = np.full((count - 1) * STRIDE + WINDOW, BEYOND, np.int8)
     padded[: len(text)] = symbols(text)
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
-def _reconciled(weighted: np.ndarray, length: int) -> np.ndarray:
-    """Emissions of a text from those of its windows, which are weighted already."""
-    body = np.zeros((len(weighted) + 1, STRIDE, TAGS), np.float32)
-    body[:-1] = weighted[:, :STRIDE]
-    body[1:, :OVERLAP] += weighted[:, STRIDE:]
-    weight = np.tile(_CENTRE[:STRIDE], (len(body), 1))
-    weight[1:, :OVERLAP] += _CENTRE[STRIDE:]
-    weight[-1, :OVERLAP] = _CENTRE[STRIDE:]
-    return (body / weight[:, :, None]).reshape(-1, TAGS)[:length]
+class _Layout:
+    """Windows of texts put on rows of STRIDE characters, where each text has one row more than windows."""
+
+    def __init__(self, counts: list[int]):
+        texts = np.arange(len(counts))
+        self.first = np.concatenate(([0], np.cumsum(np.array(counts) + 1)))  # rows where texts begin
+        self.of_row = np.repeat(texts, np.array(counts) + 1)
+        self.row = np.arange(sum(counts)) + np.repeat(texts, counts)  # of each window
+        self.begun, self.over = np.ones(len(self.of_row), bool), np.ones(len(self.of_row), bool)
+        self.begun[self.first[1:] - 1] = False  # rows where no window begins
+        self.over[self.first[:-1]] = False  # rows where no window ends
+
+    def averaged(self, values: np.ndarray) -> np.ndarray:
+        """Values of characters, by rows, from those of their windows."""
+        values = values * _CENTRE
+        out = np.zeros((len(self.of_row), STRIDE), np.float32)
+        out[self.row] = values[:, :STRIDE]
+        out[self.row + 1, :OVERLAP] += values[:, STRIDE:]
+        weight = np.tile(_CENTRE[:STRIDE], (len(out), 1))
+        weight[:, :OVERLAP] = self.begun[:, None] * _CENTRE[:OVERLAP] + self.over[:, None] * _CENTRE[STRIDE:]
+        return out / weight
+
+    def picked(self, scores: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Emissions of the characters ``at``, which ascend, from scores of windows, which are in blocks of WINDOWS_AT_ONCE."""
+        row, offset = np.divmod(at, STRIDE)
+        window = row - self.of_row[row]
+        out, weight = np.zeros((len(at), TAGS), np.float32), np.zeros((len(at), 1), np.float32)
+        for w, r, has in ((window, offset, self.begun[row]), (window - 1, offset + STRIDE, self.over[row] & (offset < OVERLAP))):
+            has = np.flatnonzero(has)  # in order, so those of a block are side by side
+            blocks = np.searchsorted(w[has], np.arange(len(scores) + 1) * WINDOWS_AT_ONCE)
+            for k, block in enumerate(scores):
+                own = has[blocks[k] : blocks[k + 1]]
+                out[own] += block[w[own] - k * WINDOWS_AT_ONCE, r[own]] * _CENTRE[r[own], None]
+                weight[own, 0] += _CENTRE[r[own]]
+        out /= weight
+        return out
 
 
 def _groups(texts: list[str]) -> Iterator[list[int]]:
@@ -539,22 +599,36 @@ def _groups(texts: list[str]) -> Iterator[list[int]]:
 def model_spans(model: Model, texts: list[str]) -> list[list[Span]]:
     """Per text the spans on the best path that hold as their kind; every character is read."""
     out: list[list[Span]] = [[] for _ in texts]
+    trans = model.p["T"]
     for group in _groups(texts):
         windows = [_windows(texts[i]) for i in group]
-        first = np.concatenate(([0], np.cumsum([len(w) for w in windows])))
-        rows = np.concatenate(windows).astype(np.int8)
-        weighted = np.concatenate([model.emissions(rows[k : k + WINDOWS_AT_ONCE]) * _CENTRE[None, :, None] for k in range(0, len(rows), WINDOWS_AT_ONCE)])
-        begins = np.concatenate(([0], np.cumsum([len(texts[i]) + 1 for i in group])))
-        e = np.full((begins[-1], TAGS), _BARRED, np.float32)
-        e[begins[1:] - 1, 0] = 0
+        layout, rows = _Layout([len(w) for w in windows]), np.concatenate(windows)
+        scores = [model.emissions(rows[k : k + WINDOWS_AT_ONCE]) for k in range(0, len(rows), WINDOWS_AT_ONCE)]
+        # an average gains at most the average of what its parts gain
+        gain = layout.averaged(np.concatenate([gains(s.transpose(1, 2, 0), trans).T for s in scores])).ravel()
+        begins = layout.first * STRIDE
+        within = np.zeros(len(gain), bool)
         for k, i in enumerate(group):
-            e[begins[k] : begins[k] + len(texts[i])] = _reconciled(weighted[first[k] : first[k + 1]], len(texts[i]))
-        path = viterbi(e, model.p["T"])
+            within[begins[k] : begins[k] + len(texts[i])] = True
+        gain[~within] = _BARRED
+        at = np.flatnonzero(doubtful(gain, trans) & within)
+        if not len(at):
+            continue
+        # runs in doubt, each with a place outside after it
+        place = np.arange(len(at)) + np.cumsum(np.diff(at, prepend=at[:1]) > 1)
+        picked = layout.picked(scores, at)
+        del scores  # where all is in doubt, each of these is as large as the other
+        e = np.full((place[-1] + 2, TAGS), _BARRED, np.float32)
+        e[:, 0] = 0
+        e[place] = picked
+        del picked
+        path = viterbi(e, trans)
         over = np.flatnonzero((path == 0) | (path % 2 == 1))  # where a span that began earlier is over
         for t in np.flatnonzero(path % 2 == 1):
-            k = int(np.searchsorted(begins, t, "right")) - 1
-            i, start, end = group[k], int(t - begins[k]), int(over[np.searchsorted(over, t, "right")] - begins[k])
-            kind = LEARNED[path[t] // 2]
+            where = at[np.searchsorted(place, t)]
+            k = int(layout.of_row[where // STRIDE])
+            i, start = group[k], int(where - begins[k])
+            end, kind = start + int(over[np.searchsorted(over, t, "right")] - t), LEARNED[path[t] // 2]
             if holds(kind, texts[i][start:end]):
                 out[i].append((start, end, kind))
     return out
